@@ -16,6 +16,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("line_n").alias("n_lines"), F.col("line_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import annotate
 
@@ -72,6 +79,7 @@ FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc
 def queries() -> dict:
     return {
         "op3_line_dedup": op3_line_dedup,
+        "op5_simhash": op5_simhash,
         "op8_decontaminate": op8_decontaminate,
     }
 
