@@ -30,6 +30,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    """Remove a folder of ours through Spark's own file system layer."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: survives lost executors, cuts lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -44,8 +50,8 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
 # ----------------------------------------------------------------------------- Arrow slices
 
 
-def text_slices(column, limit: int = SLICE_BYTES):
-    """Yield (first row, texts as UTF-8 bytes) over slices of at most ``limit`` bytes.
+def text_slices(column, limit: int = SLICE_BYTES, rows: int = 1 << 16):
+    """Yield (first row, texts as UTF-8 bytes) over slices of at most ``limit`` bytes and ``rows`` rows.
 
     Null texts come out as b"".  A text longer than the limit is a slice of its own.
     """
@@ -60,7 +66,7 @@ def text_slices(column, limit: int = SLICE_BYTES):
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, [bytes(raw[offsets[i] : offsets[i + 1]]) if valid[i] else b"" for i in range(lo, hi)]
         lo = hi
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import delete_folder, ensure_checkpoint_dir, settle, table
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archive, write_archive
+
+    folder = f"{ensure_checkpoint_dir(spark)}/skylume-warc-{uuid.uuid4().hex}"
+    write_archive(table(spark, sf_dir, "pages"), folder, min_bytes=100)
+    found = settle(read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    delete_folder(spark, folder)
+    return found
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import annotate
 
@@ -43,6 +55,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(fold() != 0))
+    return predict(docs.select("doc_id", "text", F.coalesce(fold() == 0, F.lit(False)).alias("held_out")), model).drop("text")
+
+
 OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] AS line
@@ -60,6 +80,16 @@ FROM keyed LEFT JOIN common ON keyed.k = common.k
 GROUP BY doc_id
 """
 
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages
+), f AS (SELECT html, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha256(p.html) AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.html = p.html
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
@@ -94,12 +124,15 @@ def queries() -> dict:
         "op4_pii": op4_pii,
         "op5_simhash": op5_simhash,
         "op6_quality": op6_quality,
+        "op7_warc": op7_warc,
         "op8_decontaminate": op8_decontaminate,
+        "op10_langid": op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": OP3_SQL,
+        "op7_warc": OP7_SQL,
         "op8_decontaminate": OP8_SQL,
     }
