@@ -55,6 +55,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_texts
+    from .langid import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, train_when=fold() != 1, held_out=F.coalesce(fold() == 1, F.lit(False)))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fold, predict, train
 
@@ -126,6 +134,7 @@ def queries() -> dict:
         "op6_quality": op6_quality,
         "op7_warc": op7_warc,
         "op8_decontaminate": op8_decontaminate,
+        "op9_hmm": op9_hmm,
         "op10_langid": op10_langid,
     }
 
