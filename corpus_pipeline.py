@@ -1,8 +1,70 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language, lines, near copies, benchmarks, mixture.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the docs of the next.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skylume.llm import decontaminate, langid, line_dedup, mixing, simhash
+from skylume.llm.common import delete_folder, ensure_checkpoint_dir, settle, table
+
+#: Below this score a language is not believed.
+MIN_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no recognisable language go."""
+    model = langid.train(docs)
+    return langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go; n_chars follows the text."""
+    out = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
+    n_chars = F.when(F.col("line_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.one_of_each(docs, shingle=5, distance=7, blocks=10).select(*docs.columns)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"), window=10).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the mixture takes, with their number of copies and their permuted order."""
+    return mixing.mix(docs).filter("copies > 0")
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_copies),
+    ("benchmark_decontamination", benchmarks),
+    ("source_mixing", mixture),
+]
+
+#: SQL cannot express the first and third stages; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    folder = f"{ensure_checkpoint_dir(spark)}/skylume-pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    docs = settle(docs)
+    delete_folder(spark, folder)
+    return docs

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from .common import delete_folder, ensure_checkpoint_dir, settle, table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mix(docs, entropy_share=0.95, max_repeats=4.0, budget_share=1.0, block_tokens=MIX_BLOCK, seed=7)
+    return out.select("doc_id", "source", "n_tokens", "weight", "copies", "block", "block_order")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_common_lines
 
@@ -71,6 +79,56 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", F.coalesce(fold() == 0, F.lit(False)).alias("held_out")), model).drop("text")
 
 
+MIX_BLOCK = 100_000
+
+
+def _mixing_sql(steps: int = 5, ways: int = 64) -> str:
+    """The bisection is unrolled: a pair of brackets (entropy, repetitions) for each step."""
+    h = lambda parts: f"('0x' || substr(md5({parts}), 1, 15))::BIGINT"
+    steps_sql = ""
+    for name, good, below in (("e", "h >= 0.95 * (SELECT ln(count(*)) FROM live)", True), ("r", "r <= 4.0", False)):
+        steps_sql += f", {name}0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"
+        for k in range(steps):
+            pick = f"coalesce(max(k) FILTER (WHERE {good}), 0)" if below else f"coalesce(min(k) FILTER (WHERE {good}), {ways})"
+            a, b = ("j", f"least(j + 1, {ways})") if below else ("greatest(j - 1, 0)", "j")
+            steps_sql += f"""
+, {name}{k}g AS (SELECT k, lo + (hi - lo) * k / {ways} AS a FROM {name}{k}, (SELECT unnest(range({ways + 1})) AS k))
+, {name}{k}m AS (SELECT k, ln(sum(exp(a * ln(p)))) - first(a) * sum(exp(a * ln(p)) * ln(p)) / sum(exp(a * ln(p))) AS h,
+    max(exp(a * ln(p)) / t) * (SELECT sum(t) FROM live) / sum(exp(a * ln(p))) AS r FROM {name}{k}g, live GROUP BY k)
+, {name}{k}j AS (SELECT {pick} AS j FROM {name}{k}m)
+, {name}{k + 1} AS (SELECT lo + (hi - lo) * ({a}) / {ways} AS lo, lo + (hi - lo) * ({b}) / {ways} AS hi FROM {name}{k}, {name}{k}j)"""
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS s, coalesce(doc_id::VARCHAR, '') AS id,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n FROM documents
+), sources AS (SELECT s, sum(n)::BIGINT AS t FROM docs GROUP BY s
+), live AS (SELECT s, t, t / (SELECT sum(t)::DOUBLE FROM sources) AS p FROM sources WHERE t > 0){steps_sql}
+, alpha AS (SELECT CASE WHEN (SELECT count(*) FROM live) < 2 THEN 1.0 ELSE greatest(e{steps}.lo, r{steps}.hi) END AS a FROM e{steps}, r{steps}
+), weighted AS (
+  SELECT s, t, round(exp(a * ln(p)) / sum(exp(a * ln(p))) OVER (), 9) AS weight FROM live, alpha
+), budgets AS (
+  SELECT *, floor(weight * (SELECT sum(t)::DOUBLE FROM sources))::BIGINT AS budget FROM weighted
+), parts AS (
+  SELECT s, t, weight, budget // t AS passes, budget % t AS rest, greatest(1, ceil(t / {float(MIX_BLOCK)}))::BIGINT AS blocks FROM budgets
+), placed AS (
+  SELECT docs.*, coalesce(weight, 0) AS weight, coalesce(passes, 0) AS passes, coalesce(rest, 0) AS rest,
+    {h("'7b|' || id")} % coalesce(blocks, 1) AS block, {h("'7d|' || id")} AS o FROM docs LEFT JOIN parts USING (s)
+), ordered AS (SELECT *, {h("'7o|' || s || '|' || block")} AS block_order FROM placed
+), sums AS (SELECT s, rest, block, block_order, sum(n) AS n FROM ordered WHERE rest > 0 GROUP BY ALL
+), runs AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY block_order, block) AS upto FROM sums
+), cut AS (
+  SELECT s, arg_min(block, block_order) AS cut_block, min(block_order) AS cut_order, arg_min(rest - upto + n, block_order) AS room
+  FROM runs WHERE upto > rest GROUP BY s
+), inside AS (
+  SELECT s, o, room, sum(n) AS n FROM ordered JOIN cut USING (s) WHERE block = cut_block GROUP BY ALL
+), reach AS (SELECT s, o, room, sum(n) OVER (PARTITION BY s ORDER BY o) AS upto FROM inside
+), last AS (SELECT s, max(o) AS last_order FROM reach WHERE upto <= room GROUP BY s)
+SELECT doc_id, source, n AS n_tokens, weight, passes + CASE WHEN rest > 0 AND (coalesce(block_order < cut_order, false)
+    OR coalesce(block = cut_block AND o <= last_order, false)) THEN 1 ELSE 0 END AS copies, block, block_order
+FROM ordered LEFT JOIN cut USING (s) LEFT JOIN last USING (s)
+"""
+
+
 OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos] AS line
@@ -128,6 +186,7 @@ FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc
 
 def queries() -> dict:
     return {
+        "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
         "op4_pii": op4_pii,
         "op5_simhash": op5_simhash,
@@ -141,6 +200,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": _mixing_sql(),
         "op3_line_dedup": OP3_SQL,
         "op7_warc": OP7_SQL,
         "op8_decontaminate": OP8_SQL,
