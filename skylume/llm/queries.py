@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import delete_folder, ensure_checkpoint_dir, settle, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=400).drop("text")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -186,6 +192,7 @@ FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
         "op4_pii": op4_pii,
