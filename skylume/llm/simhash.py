@@ -37,6 +37,8 @@ from .components import components
 
 #: Fingerprints of one masked pattern that a group holds at most (two chunks a group).
 CHUNK = 4096
+#: Hot patterns broadcast at most.
+BROADCAST_PATTERNS = 200_000
 #: Children of a tree node.
 FANOUT = 16
 #: Candidate places held at once.
@@ -48,10 +50,11 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 # ------------------------------------------------------------------------- fingerprints
 
 
-def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
-    """Unsigned 64-bit fingerprint of each text."""
+def fingerprints_of(texts: list[bytes], shingle: int, words: int = 1) -> np.ndarray:
+    """``words`` unsigned 64-bit words for each text: the fingerprint, then further ones over
+    remixed hashes of the same shingles, for a closer look at candidates."""
     w = C.Words([C.lower_ascii(t) for t in texts], C.SPACE)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros((len(texts), words), dtype=np.uint64)
     digest, weights = xxhash.xxh64_intdigest, (np.uint64(1) << np.arange(64, dtype=np.uint64))
     for i in range(len(texts)):
         lo, hi = int(w.first[i]), int(w.first[i + 1])
@@ -63,23 +66,26 @@ def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
         n = max(1, hi - lo - shingle + 1)
         last = ends[shingle - 1 :] if hi - lo >= shingle else ends[-1:]
         h = np.fromiter((digest(text[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=n)
-        parts = h.view(np.uint8).reshape(n, 8)
-        counts = np.concatenate([np.bincount(parts[:, k], minlength=256) @ _BITS for k in range(8)])
-        out[i] = weights[2 * counts > n].sum()
+        for k in range(words):
+            parts = h.view(np.uint8).reshape(n, 8)
+            counts = np.concatenate([np.bincount(parts[:, b], minlength=256) @ _BITS for b in range(8)])
+            out[i, k] = weights[2 * counts > n].sum()
+            h = C.mix64(h)
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` plus a signed 64-bit ``fingerprint`` (replaced if already there)."""
-    docs = docs.drop(out)
+def fingerprints(docs: DataFrame, shingle: int = 5, text: str = "text", words: int = 1) -> DataFrame:
+    """``docs`` plus signed 64-bit columns fp0, fp1, ... (replaced if already there)."""
+    names = [f"fp{k}" for k in range(words)]
+    docs = docs.drop(*names)
     place = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [fingerprints_of(texts, shingle) for _, texts in C.text_slices(batch.column(place))]
-            values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=schema.names)
+            parts = [fingerprints_of(texts, shingle, words) for _, texts in C.text_slices(batch.column(place))]
+            values = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, words), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(words))], names=schema.names)
 
     return docs.mapInArrow(make, schema)
 
@@ -168,14 +174,22 @@ class _Forest:
                 self.label = up
 
 
-def link_groups(prints: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (pairs of places) of the links inside each group; Gray-sorted input."""
-    tree = GrayTree(prints, starts)
+def link_groups(prints: np.ndarray, starts: np.ndarray, distance: int, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (pairs of places) of the links inside each group.
+
+    ``prints`` is (n, words); groups are sorted by the Gray rank of the first word, which the
+    tree searches.  With ``total``, a pair also may differ in that many bits of all words.
+    """
+    tree = GrayTree(np.ascontiguousarray(prints[:, 0]), starts)
     groups = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(prints))))
     forest = _Forest(len(prints))
-    for q, p in tree.search(prints, groups, distance):
+    for q, p in tree.search(tree.value[0], groups, distance):
         more = p > q
-        forest.join(q[more], p[more])
+        q, p = q[more], p[more]
+        if total is not None:
+            close = np.bitwise_count(prints[q] ^ prints[p]).sum(axis=1) <= total
+            q, p = q[close], p[close]
+        forest.join(q, p)
     child = np.flatnonzero(forest.label != np.arange(len(prints)))
     return child, forest.label[child]
 
@@ -187,41 +201,54 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(block, blocks - distance)]
 
 
-def links(prints: DataFrame, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """Links (a, b) of distinct signed fingerprints ``fp``: a forest that joins all pairs in reach."""
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(blocks, distance)]
-    dealt = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = dealt.join(sizes, ["t", "key"])
+def links(prints: DataFrame, distance: int = 4, blocks: int = 6, reach: int | None = None, total: int | None = None) -> DataFrame:
+    """Links (a, b) of the nodes of ``prints`` (node, fp0, ...): a forest that joins all pairs
+    within ``distance`` bits of fp0.
+
+    With ``reach`` and ``total``, pairs of up to ``reach`` bits that share a pattern link too,
+    and a pair must lie within ``total`` bits over all words.
+    """
+    words = [c for c in prints.columns if c.startswith("fp")]
+    masks = block_masks(blocks, distance)
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    dealt = prints.select("node", *words, F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
+    hot = settle(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK))
+    dealt = dealt.join(C.maybe_broadcast(hot, hot.count(), BROADCAST_PATTERNS), ["t", "key"], "left")
     # A tight cluster crowds any slice of bits, so a hot pattern's chunks are dealt by hash.
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    dealt = dealt.withColumn("k", chunks).withColumn("c", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    dealt = dealt.select("t", "key", "fp", "c", other.alias("d")).select("t", "key", "fp", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"))
-    schema = "a long, b long"
-    unsigned = np.array([m & (1 << 64) - 1 for m in masks], dtype=np.uint64)
+    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
+    dealt = dealt.withColumn("k", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    pairs = dealt.filter("k > 1").select("t", "key", "node", *words, "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d"))
+    pairs = pairs.withColumns({"c": F.least("c", "d"), "d": F.greatest("c", "d")})
+    dealt = dealt.filter("k = 1").select("t", "key", "node", *words, "c", F.lit(0).alias("d")).unionByName(pairs)
+    unsigned = np.array(masks, dtype=np.uint64)
+    limit = distance if reach is None else reach
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, fp, starts in _whole_groups(batches):
-            rank = gray_rank(fp & ~unsigned[t])
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(fp))))
-            fp = fp[np.lexsort((rank, group))]
-            a, b = link_groups(fp, starts, distance)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
+        for rows, starts in _whole_groups(batches):
+            size = np.diff(np.append(starts, len(rows)))
+            shared = np.repeat(size > 1, size)
+            rows, size = rows[shared], size[size > 1]
+            if not len(rows):
+                continue
+            fp = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+            group = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((gray_rank(fp[:, 0] & ~unsigned[rows[:, 0]]), group))
+            a, b = link_groups(fp[order], np.cumsum(size) - size, limit, total)
+            node = rows[order, 4]
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     keyed = dealt.repartition("t", "key", "c", "d").sortWithinPartitions("t", "key", "c", "d")
-    return keyed.select("t", "key", "c", "d", "fp").mapInArrow(search, schema)
+    return keyed.select("t", "key", "c", "d", "node", *words).mapInArrow(search, "a long, b long")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]):
-    """Sorted rows as (t, fingerprints, starts of groups), never cutting a group in two."""
+    """Sorted rows as (values, starts of groups of the first four), never cutting a group in two."""
     held: list[np.ndarray] = []
     rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]))
+        held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
         rows += batch.num_rows
         if rows < 1 << 16:
             continue
@@ -230,39 +257,43 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]):
         if not len(new):
             held = [all_rows]
             continue
-        yield _groups(all_rows[: new[-1]])
+        yield all_rows[: new[-1]], np.concatenate(([0], new[:-1]))
         held, rows = [all_rows[new[-1] :]], len(all_rows) - new[-1]
     if held:
-        yield _groups(np.concatenate(held))
-
-
-def _groups(rows: np.ndarray):
-    starts = np.concatenate(([0], np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1))
-    return rows[:, 0], np.ascontiguousarray(rows[:, 4]).view(np.uint64), starts
+        all_rows = np.concatenate(held)
+        yield all_rows, np.concatenate(([0], np.flatnonzero((all_rows[1:, :4] != all_rows[:-1, :4]).any(axis=1)) + 1))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """One row per document: ``doc_id``, ``fingerprint`` (signed), ``component_id``."""
-    prints = settle(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle).select("doc_id", F.col("fingerprint").alias("fp")))
-    return with_components(prints, distance, blocks).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    """One row per document: ``doc_id``, ``fingerprint`` (signed), ``component_id``.
 
-
-def with_components(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """``prints`` (doc_id, fp) plus ``component_id``, the least doc_id reachable."""
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tree = settle(components(links(distinct, distance, blocks)))
-    member = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    Exact for fingerprints: every pair within ``distance`` bits links.
+    """
+    made = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle)
+    prints = settle(made.select("doc_id", F.col("fp0").alias("fingerprint")))
+    distinct = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    tree = components(links(distinct.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("fp0")), distance, blocks))
+    member = distinct.join(tree, distinct["fingerprint"] == tree["node"], "left").select(F.col("fingerprint").alias("fp"), "first", F.coalesce("root", "fingerprint").alias("root"))
     member = settle(member)
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return prints.join(of, F.col("fp") == F.col("__fp")).drop("__fp")
+    of = member.join(least, "root").select("fp", "component_id")
+    return prints.join(of, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 7, blocks: int = 10) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the least id.
 
+    Two texts link when 128 fingerprint bits put the overlap of their shingle sets at
+    ``similarity`` or more.  Candidates share a masked pattern of the first 64 bits: all pairs
+    within ``distance`` of those bits do, and most pairs somewhat further apart.
     Rows that repeat an id are all kept or all dropped; null ids are never dropped.
     """
-    found = near_duplicates(docs, doc_id, text, shingle, distance, blocks)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    total, reach = round(128 * angle) + 2, round(64 * angle) + 3
+    made = fingerprints(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, words=2)
+    prints = settle(made.select("doc_id", "fp0", "fp1"))
+    distinct = settle(prints.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node")))
+    tree = components(links(distinct, distance, blocks, reach, total))
+    copies = prints.join(distinct, ["fp0", "fp1"]).filter("doc_id <> node").select(F.col("doc_id").alias("__gone"))
+    gone = copies.union(tree.filter("node <> root").select("node")).distinct()
     return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
