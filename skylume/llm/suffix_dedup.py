@@ -17,7 +17,7 @@ groups outside which none can have an equal:
 3. What is left is packed with the shared core as a single symbol into a block, whose suffix
    array puts equal windows side by side.
 
-Grams met more often than ``hot`` times skip step 2 and 3: their windows are counted by hash
+Grams with more than ``hot`` contexts skip steps 2 and 3: their windows are counted by hash
 across the cluster, so that no task holds a hot gram's contexts.
 
 A fixed-size bit table (``FILTER_BITS``) tells tasks which anchors may repeat; false alarms
@@ -123,7 +123,10 @@ def _filter_of(grams: DataFrame) -> np.ndarray:
 
 
 def gram_table(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """(g, n, mixed): grams of two anchors or more; mixed if their contexts differ."""
+    """(g, n, rows, c, mixed): grams of two anchors or more; mixed if their contexts differ.
+
+    ``rows`` counts contexts after equal ones of a slice of texts have become one.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, (_, _, _, _, g, c, _) in _runs(batches, size, gram):
@@ -134,7 +137,8 @@ def gram_table(texts: DataFrame, size: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.array(c[new].view(np.int64)), pa.array(n)], names=["g", "c", "n"])
 
     rows = texts.mapInArrow(count, "g long, c long, n long")
-    return rows.groupBy("g").agg(F.sum("n").alias("n"), F.min("c").alias("c"), F.max("c").alias("c_max")).filter("n > 1").select("g", "n", "c", (F.col("c") != F.col("c_max")).alias("mixed"))
+    counts = rows.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("c").alias("c"), F.max("c").alias("c_max"))
+    return counts.filter("n > 1").select("g", "n", "rows", "c", (F.col("c") != F.col("c_max")).alias("mixed"))
 
 
 # ------------------------------------------------------------------------------- blocks
@@ -381,14 +385,15 @@ def remove_repeats(docs: DataFrame, size: int = 400, text: str = "text", gram: i
     a, b = F.xxhash64(text), F.xxhash64(F.lit(3), F.col(text))
     texts = docs.filter(F.octet_length(text) >= size).select(F.col(text).alias("text"), a.alias("a"), b.alias("b"))
     grams = C.settle(gram_table(texts.select("text"), size, gram))
-    cold = grams.filter(F.col("n") <= hot)
+    is_hot = F.col("mixed") & (F.col("rows") > hot)
+    cold = grams.filter(~is_hot)
     bits = sc.broadcast(_filter_of(cold.select("g")))
     mixed_bits = sc.broadcast(_filter_of(cold.filter("mixed").select("g")))
     verdicts = context_verdicts(texts.select("text"), cold, mixed_bits, size, gram, cell)
     whole = cold.filter("not mixed").select("g", "c", F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
     found = _keyed_runs(texts, bits, size, gram).join(verdicts.unionByName(whole), ["g", "c"])
     spans = found.select("a", "b", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.coalesce("e", F.col("windows") - 1) + size).alias("e"))
-    hot_grams = grams.filter(F.col("n") > hot).select("g")
+    hot_grams = grams.filter(is_hot).select("g")
     if not hot_grams.isEmpty():
         spans = spans.unionByName(_hot_spans(texts, hot_grams, sc.broadcast(_filter_of(hot_grams)), size, gram))
     per_text = spans.groupBy("a", "b").agg(F.collect_set(F.struct("s", "e")).alias("__spans")).withColumnsRenamed({"a": "__a", "b": "__b"})
