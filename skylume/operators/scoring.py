@@ -69,6 +69,7 @@ def ego_prediction(members: DataFrame, ego_edges: DataFrame, first: DataFrame, l
 def fidelities(edges: DataFrame, ego_edges: DataFrame, members: DataFrame, states: DataFrame, first: DataFrame, layers: list[Layer]) -> DataFrame:
     """(vt, cand, n_edges, fid_plus, fid_minus, factual, counterfactual, p_sub, p_comp).
 
+    Every input is read several times: settle what is costly to make.
     The complement is over the whole graph; a network no deeper than the ego's radius sees of
     the rest only the in-degrees, so the ego with ``outside`` degrees stands for all of it.
     """
