@@ -314,7 +314,10 @@ def _gram_blocks(batches: Iterator[pa.RecordBatch]):
 
 
 def _keyed_runs(texts: DataFrame, bits, size: int, gram: int) -> DataFrame:
-    """(a, b, lo, windows, g, c) of anchors that may repeat."""
+    """(a, b, lo, k, windows, g, c) of anchors that may repeat.
+
+    Equal contexts one right after the other (periodic text) are one row of k of them.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,10 +325,15 @@ def _keyed_runs(texts: DataFrame, bits, size: int, gram: int) -> DataFrame:
             for first, part in C.text_slices(batch.column(0)):
                 text, lo, n, _, g, c, _ = anchors(part, size, gram)
                 keep = np.flatnonzero(_in_filter(bits.value, g)) if len(g) else np.zeros(0, dtype=np.int64)
-                row = first + text[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[row]), pa.array(lo[keep]), pa.array(n[keep]), pa.array(g[keep].view(np.int64)), pa.array(c[keep].view(np.int64))], names=["a", "b", "lo", "windows", "g", "c"])
+                text, lo, n, g, c = (x[keep] for x in (text, lo, n, g, c))
+                new = np.ones(len(lo), dtype=bool)
+                new[1:] = (text[1:] != text[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (lo[1:] != lo[:-1] + n[:-1])
+                at = np.flatnonzero(new)
+                k = np.diff(np.append(at, len(lo)))
+                row = first + text[at]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[row], b[row], lo[at], k, n[at], g[at].view(np.int64), c[at].view(np.int64))], names=["a", "b", "lo", "k", "windows", "g", "c"])
 
-    return texts.mapInArrow(rows, "a long, b long, lo long, windows long, g long, c long")
+    return texts.mapInArrow(rows, "a long, b long, lo long, k long, windows long, g long, c long")
 
 
 def _hot_spans(texts: DataFrame, hot: DataFrame, bits, size: int, gram: int) -> DataFrame:
@@ -392,7 +400,9 @@ def remove_repeats(docs: DataFrame, size: int = 400, text: str = "text", gram: i
     verdicts = context_verdicts(texts.select("text"), cold, mixed_bits, size, gram, cell)
     whole = cold.filter("not mixed").select("g", "c", F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
     found = _keyed_runs(texts, bits, size, gram).join(verdicts.unionByName(whole), ["g", "c"])
-    spans = found.select("a", "b", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.coalesce("e", F.col("windows") - 1) + size).alias("e"))
+    # A context has at most ``size`` windows, so the spans of k contexts in a row touch.
+    last = F.col("lo") + (F.col("k") - 1) * F.col("windows") + F.coalesce("e", F.col("windows") - 1)
+    spans = found.select("a", "b", (F.col("lo") + F.col("s")).alias("s"), (last + size).alias("e"))
     hot_grams = grams.filter(is_hot).select("g")
     if not hot_grams.isEmpty():
         spans = spans.unionByName(_hot_spans(texts, hot_grams, sc.broadcast(_filter_of(hot_grams)), size, gram))
