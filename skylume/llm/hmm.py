@@ -171,7 +171,7 @@ def _encode(rows: pa.RecordBatch, texts: list[bytes], v: Vocabulary) -> pa.Recor
     inner = np.where(found & (symbol < 0), v.within_class(count, cls), 0.0)
     seq_of = np.where(symbol >= 0, symbol, v.n_symbols + cls)
     owner = w.owner()
-    sums = lambda x: np.bincount(owner, weights=x[inverse], minlength=n)
+    sums = lambda x: np.bincount(owner, weights=x[inverse], minlength=n).astype(np.float64)
     known = sums(found.astype(float)).astype(np.int64) + (v.ends > 0)
     base = sums(np.where(found, v.base(count), 0.0)) + v.base(np.array(v.ends))
     size = np.diff(w.first)

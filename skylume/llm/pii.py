@@ -141,9 +141,9 @@ GLYPHS = _glyphs()
 _GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SPELLED_THREE = re.compile(rf"(?<!\w)(?:{_WORD})(?:[ \t,.-]+(?:{_WORD}|[0-9]+)){{2,}}(?!\w)", re.I)
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)[a-z]{2})", re.I)
+_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*[a-z]{2}|\s+dot\s+[a-z]{2}|\.(?-i:[a-z]{2})))", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-_AT_HINT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\sdot\s|\sat\s+[A-Za-z0-9-]+\.[a-z]{2}", re.I)
+_AT_HINT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\sdot\s|\sat\s+[A-Za-z0-9-]+\.(?-i:[a-z]{2})", re.I)
 _PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
 
 
