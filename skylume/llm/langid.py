@@ -6,7 +6,7 @@ against one between families), then one-versus-one machines separate the languag
 within it.  All machines are linear, so a document costs one histogram and one product.
 
 Training uses a bounded sample: about ``per_language`` labelled rows a language (default
-500, chosen by a hash of the id and text; all rows where there are fewer).  Prediction
+300, chosen by a hash of the id and text; all rows where there are fewer).  Prediction
 reads every text whole and uses nothing but the text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any
@@ -76,7 +76,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss (y is -1 or 1), by accelerated gradient steps."""
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     w, b, vw, vb = np.zeros(x.shape[1], dtype=np.float32), 0.0, np.zeros(x.shape[1], dtype=np.float32), 0.0
@@ -145,7 +145,7 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     return Model(langs, fams, duels(kin, fams), {f: duels(names, [x for x in langs if family(x) == f]) for f in fams})
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 300) -> Model:
     """Fit on about ``per_language`` rows of each language with a text (all if fewer)."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(doc_id).cast("string").alias("d"))
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
