@@ -155,7 +155,7 @@ def balance(clusters: list[list[int]], parts: int) -> list[list[int]]:
         out.append(small)
     while len(out) > parts:
         out.sort(key=len)
-        out = [*out[2:], out[0] + out[1]]
+        out = [out[0] + out[1], *out[2:]]
     while len(out) < parts and max(map(len, out), default=0) > 1:
         out.sort(key=len, reverse=True)
         half = len(out[0]) // 2

@@ -159,7 +159,7 @@ def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """A file of one integer a line as (node_id)."""
-    return spark.read.text(path).select(F.trim("value").cast("long").alias("node_id")).filter("node_id is not null")
+    return spark.read.text(path).select(F.trim("value").try_cast("long").alias("node_id")).filter("node_id is not null")
 
 
 def save_batch(records: DataFrame, folder: str, batch: int) -> None:
