@@ -8,8 +8,8 @@ budgets.  A source's documents lie in hashed blocks in a hashed order (a block p
 a budget takes whole passes over the source and then blocks in that order; the block
 that would overrun is cut within the same kind of order over its documents.
 
-Per-source decisions are one small row each (broadcast by Spark only if below its size
-threshold); running sums go over hashed ranges of blocks first and blocks within a range
+Per-source decisions are one small row each, broadcast for up to ``BROADCAST_SOURCES`` sources;
+running sums go over hashed ranges of blocks first and blocks within a range
 second, so no task holds a whole source.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens and
@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import maybe_broadcast, settle
 
 #: Ways of a bisection step, steps, digits kept of a weight.
 WAYS, STEPS, DIGITS = 64, 5, 9
+#: Sources (a row of about 100 bytes each) broadcast at most; more meet in a shuffle join.
+BROADCAST_SOURCES = 100_000
 #: Hashed ranges of a source's blocks.
 RANGES = 1024
 
@@ -96,7 +98,8 @@ def plan(docs: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0,
     weights = sources.select("__s").join(weights, "__s", "left").na.fill(0)
     weights = settle(weights.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("t") / block_tokens))))
 
-    placed = docs.join(weights.select("__s", "blocks", "rest"), "__s").filter("rest > 0").withColumns(_place(seed))
+    n_sources = weights.count()
+    placed = docs.join(maybe_broadcast(weights.select("__s", "blocks", "rest"), n_sources, BROADCAST_SOURCES), "__s").filter("rest > 0").withColumns(_place(seed))
     blocks = settle(placed.groupBy("__s", "rest", "block", "block_order").agg(F.sum("__n").alias("n")))
     ranges = blocks.groupBy("__s", _range().alias("part")).agg(F.sum("n").alias("n"))
     before = ranges.withColumn("before", F.sum("n").over(Window.partitionBy("__s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["before"]).drop("n")
@@ -105,7 +108,8 @@ def plan(docs: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0,
     cut = runs.filter("done <= rest and done + n > rest").groupBy("__s").agg(F.min(F.struct("block_order", "block", (F.col("rest") - F.col("done")).alias("left"))).alias("c"))
     cut = cut.select("__s", "c.block_order", "c.block", "c.left")
     doc_order = hashed(F.lit(f"{seed}d"), F.col("__id"))
-    inside = placed.join(F.broadcast(cut) if cut.count() <= 100_000 else cut, ["__s", "block_order", "block"]).select("__s", "left", doc_order.alias("o"), "__n")
+    cut = settle(cut)
+    inside = placed.join(maybe_broadcast(cut, n_sources, BROADCAST_SOURCES), ["__s", "block_order", "block"]).select("__s", "left", doc_order.alias("o"), "__n")
     reach = inside.groupBy("__s", "left", "o").agg(F.sum("__n").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("__s").orderBy("o")))
     last = reach.filter("upto <= left").groupBy("__s").agg(F.max("o").alias("last_order"))
     out = weights.join(cut.select("__s", F.col("block_order").alias("cut_order"), F.col("block").alias("cut_block")), "__s", "left").join(last, "__s", "left")
@@ -129,7 +133,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     key = F.concat(F.when(F.col(source).isNull(), "-").otherwise("+"), F.coalesce(F.col(source).cast("string"), F.lit("")))
     marked = docs.withColumns({"__s": key, "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__n": n_tokens(F.col(text))})
     sources = plan(marked.select("__s", "__id", "__n"), entropy_share, max_repeats, budget_share, block_tokens, seed)
-    found = marked.join(sources.select("__s", "weight", "passes", "rest", "blocks", "cut_order", "cut_block", "last_order"), "__s").withColumns(_place(seed))
+    slim = sources.select("__s", "weight", "passes", "rest", "blocks", "cut_order", "cut_block", "last_order")
+    found = marked.join(maybe_broadcast(slim, sources.count(), BROADCAST_SOURCES), "__s").withColumns(_place(seed))
     order = hashed(F.lit(f"{seed}d"), F.col("__id"))
     earlier = (F.col("block_order") < F.col("cut_order")) | ((F.col("block_order") == F.col("cut_order")) & (F.col("block") < F.col("cut_block")))
     at_cut = (F.col("block_order") == F.col("cut_order")) & (F.col("block") == F.col("cut_block")) & (order <= F.col("last_order"))
