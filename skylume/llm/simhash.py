@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 7, blocks: int = 10) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 8, blocks: int = 11) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the least id.
 
     Two texts link when 128 fingerprint bits put the overlap of their shingle sets at
@@ -289,7 +289,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     Rows that repeat an id are all kept or all dropped; null ids are never dropped.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    total, reach = round(128 * angle) + 2, round(64 * angle) + 3
+    total, reach = round(128 * angle) + 4, round(64 * angle) + 4  # a standard deviation above the mean
     made = fingerprints(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, words=2)
     prints = settle(made.select("doc_id", "fp0", "fp1"))
     distinct = settle(prints.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node")))
