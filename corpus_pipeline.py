@@ -16,33 +16,49 @@ from skylume.llm.common import delete_folder, ensure_checkpoint_dir, settle, tab
 
 #: Below this score a language is not believed.
 MIN_SCORE = 0.2
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Columns beyond those of documents travel as one, so that their names cannot clash."""
+    extra = [c for c in docs.columns if c not in COLUMNS]
+    return docs.select(*(c for c in docs.columns if c in COLUMNS), F.struct(*extra).alias("__extra")) if extra else docs
+
+
+def _unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` with the columns of ``docs`` in their order."""
+    return found.select(*(F.col(c) if c in COLUMNS else F.col("__extra")[c].alias(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no recognisable language go."""
     model = langid.train(docs)
-    return langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    found = langid.predict(_packed(docs), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return _unpacked(found, docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; n_chars follows the text."""
-    out = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
+    out = line_dedup.drop_common_lines(_packed(docs), min_docs=10, min_chars=1)
     n_chars = F.when(F.col("line_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    return _unpacked(out.withColumn("n_chars", n_chars), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.one_of_each(docs, shingle=5, similarity=0.8).select(*docs.columns)
+    return _unpacked(simhash.one_of_each(_packed(docs), shingle=5, similarity=0.8), docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"), window=10).select(*docs.columns)
+    return _unpacked(decontaminate.remove_documents(_packed(docs), table(spark, sf_dir, "benchmark"), window=10), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the mixture takes, with their number of copies and their permuted order."""
+    """Documents the mixture takes, with their number of copies and their permuted order.
+
+    Columns of those names that were there are replaced.
+    """
     return mixing.mix(docs).filter("copies > 0")
 
 

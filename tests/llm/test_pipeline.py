@@ -74,3 +74,31 @@ def test_mixture_takes_from_what_is_left(stages):
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SF).select("doc_id", F.col("copies")).collect()
     assert sorted((r.doc_id, r.copies) for r in got) == sorted((r.doc_id, r.copies) for r in stages[-1][1])
+
+
+AWKWARD = [
+    (1, "one line\nand another line", "en", "s1", 5),
+    (1, "one line\nand another line", "en", "s1", 5),
+    (2, None, None, None, None),
+    (None, "a text without an id at all", None, "s1", 1),
+    (3, "", "en", "", 0),
+    (4, "the quick brown fox " * 20_000, "en", "s2", None),
+    (5, "Ein ganz anderer Text über große Häuser und Bäume.", "de", "s2", 1),
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_awkward_rows(spark, name, stage):
+    """Nulls, empty and long texts, repeats, clashing extra columns; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies string, score int, fp0 string, n_hit string, line_n int, block string"
+    df = spark.createDataFrame([(*r, "c", 1, "f", "h", 2, "b") for r in AWKWARD], schema)
+    got = stage(spark, df, SF)
+    rows = got.collect()
+    assert set(COLUMNS) <= set(got.columns) and 0 < len(rows) <= len(AWKWARD)
+    if name != "source_mixing":
+        assert got.columns == df.columns and all((r.n_hit, r.line_n, r.score) == ("h", 2, 1) for r in rows)
+    if name == "language_id":
+        assert all(r.text for r in rows) and len(rows) == 5
+    if name == "simhash_near_dedup":
+        assert sum(r.doc_id is None for r in rows) == 1 and sum(r.doc_id == 1 for r in rows) == 2
+    assert stage(spark, df.limit(0), SF).count() == 0
