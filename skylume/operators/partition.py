@@ -102,15 +102,28 @@ def average_link(distance: np.ndarray, clusters: int) -> list[list[int]]:
     np.fill_diagonal(d, np.inf)
     size = np.ones(len(d))
     alive = np.ones(len(d), dtype=bool)
+    # The least of each row and its first place, kept up to date, so that a merge costs a few rows.
+    r = np.round(d, 12)
+    near = r.argmin(axis=1) if len(d) else np.zeros(0, dtype=int)
+    least = r[np.arange(len(d)), near]
     while alive.sum() > max(1, clusters):
-        i, j = np.unravel_index(np.argmin(np.round(d, 12)), d.shape)
-        i, j = min(i, j), max(i, j)
+        i = int(np.argmin(least))
+        i, j = sorted((i, int(near[i])))
         d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
+        r[i] = r[:, i] = np.round(d[i], 12)
+        r[j] = r[:, j] = np.inf
         size[i] += size[j]
         alive[j] = False
         groups[i] += groups[j]
+        better = (r[:, i] < least) | ((r[:, i] == least) & (i < near))
+        stale = (near == i) | (near == j)
+        least[better], near[better] = r[better, i], i
+        stale[[i, j]] = True
+        again = np.flatnonzero(stale)
+        near[again] = r[again].argmin(axis=1)
+        least[again] = r[again, near[again]]
     return [sorted(groups[i]) for i in np.flatnonzero(alive)]
 
 

@@ -277,19 +277,13 @@ def balance_split(spark, sf):
     return sized.select("leader", "vt", F.when(F.col("n") > most, F.floor(rank / target)).otherwise(0).cast("long").alias("chunk"))
 
 
-def _test_vts(spark, sf):
-    e, vts, sets = _sets(spark, sf)
-    some = vts.filter("vt < 120")
-    return e, some, sets.join(some, "vt", "left_semi")
-
-
 def cluster_exact(spark, sf):
-    _, vts, sets = _test_vts(spark, sf)
+    _, vts, sets = _sets(spark, sf)
     return partition.partition(sets, vts, P.workers, "exact")
 
 
 def balance_lsh(spark, sf):
-    _, vts, sets = _test_vts(spark, sf)
+    _, vts, sets = _sets(spark, sf)
     return partition.partition(sets, vts, P.workers, "lsh", 64, 0.5)
 
 
@@ -299,7 +293,7 @@ def lpt_merge(spark, sf):
 
 
 def split_bucket(spark, sf):
-    _, vts, sets = _test_vts(spark, sf)
+    _, vts, sets = _sets(spark, sf)
     members = {r["vt"]: set(r["s"]) for r in sets.groupBy("vt").agg(F.collect_set("node").alias("s")).collect()}
     return partition.as_table(spark, partition.split_bucket(sorted(r["vt"] for r in vts.collect()), members, 15))
 
@@ -423,9 +417,7 @@ def ipf_workers(spark, sf):
 
 def _found(spark, sf, method: str):
     nodes, edges = _near(spark, sf)
-    p = Params(method=method)
-    vts = _vts(edges) if method == "simple" else _vts(edges).filter("vt < 120")
-    return search.explain(nodes, edges, vts, p, _model())
+    return search.explain(nodes, edges, _vts(edges), Params(method=method), _model())
 
 
 def skyline(spark, sf):

@@ -251,3 +251,17 @@ def test_training_lowers_the_loss(spark, g7):
     norm = models.gcn_norm(nodes.select(F.col("node_id").alias("node")), edges, [])
     _, far = _train_propagated(nodes, norm, ids, 4, 2, 3, 42)
     assert far[-1] < far[0]
+
+
+def test_average_link_equals_search_of_all_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n, parts = int(rng.integers(1, 30)), int(rng.integers(1, 8))
+        d = np.triu(rng.integers(0, 6, (n, n)) / 5, 1)
+        d += d.T
+        groups = {i: [i] for i in range(n)}
+        mean = lambda a, b: round(float(np.mean(d[np.ix_(a, b)])), 9)  # noqa: B023, E731
+        while len(groups) > parts:
+            i, j = min(((i, j) for i in groups for j in groups if i < j), key=lambda p: (mean(groups[p[0]], groups[p[1]]), p))  # noqa: B023
+            groups[i] += groups.pop(j)
+        assert partition.average_link(d, parts) == [sorted(g) for g in groups.values()]

@@ -40,3 +40,10 @@ def test_entry_points(spark):
 
     assert set(oracle.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("key,node", [("skyline_share", "vt"), ("skyline_share_cluster", "vt"), ("cluster_exact", "node"), ("balance_lsh", "node"), ("split_bucket", "node")])
+def test_whole_table_no_subset(spark, key, node):
+    """Every node of the nearest-neighbour graph is searched, clustered or split."""
+    every = {r.src for r in queries._near(spark, SF)[1].select("src").collect()}
+    assert {r[0] for r in queries.queries()[key](spark, SF).select(node).collect()} == every and len(every) == 500
