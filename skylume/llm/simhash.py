@@ -50,11 +50,11 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 # ------------------------------------------------------------------------- fingerprints
 
 
-def fingerprints_of(texts: list[bytes], shingle: int, words: int = 1) -> np.ndarray:
+def fingerprints_of(texts: list[bytes], shingle: int, words: int = 1, digest_sets: bool = False) -> np.ndarray:
     """``words`` unsigned 64-bit words for each text: the fingerprint, then further ones over
-    remixed hashes of the same shingles, for a closer look at candidates."""
+    remixed hashes of the same shingles; on demand a digest of the set of shingles comes last."""
     w = C.Words([C.lower_ascii(t) for t in texts], C.SPACE)
-    out = np.zeros((len(texts), words), dtype=np.uint64)
+    out = np.zeros((len(texts), words + digest_sets), dtype=np.uint64)
     digest, weights = xxhash.xxh64_intdigest, (np.uint64(1) << np.arange(64, dtype=np.uint64))
     for i in range(len(texts)):
         lo, hi = int(w.first[i]), int(w.first[i + 1])
@@ -66,6 +66,8 @@ def fingerprints_of(texts: list[bytes], shingle: int, words: int = 1) -> np.ndar
         n = max(1, hi - lo - shingle + 1)
         last = ends[shingle - 1 :] if hi - lo >= shingle else ends[-1:]
         h = np.fromiter((digest(text[s:e], 42) for s, e in zip(starts[:n].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=n)
+        if digest_sets:
+            out[i, words] = xxhash.xxh3_64_intdigest(np.unique(h).tobytes())
         for k in range(words):
             parts = h.view(np.uint8).reshape(n, 8)
             counts = np.concatenate([np.bincount(parts[:, b], minlength=256) @ _BITS for b in range(8)])
@@ -74,18 +76,18 @@ def fingerprints_of(texts: list[bytes], shingle: int, words: int = 1) -> np.ndar
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, text: str = "text", words: int = 1) -> DataFrame:
-    """``docs`` plus signed 64-bit columns fp0, fp1, ... (replaced if already there)."""
-    names = [f"fp{k}" for k in range(words)]
+def fingerprints(docs: DataFrame, shingle: int = 5, text: str = "text", words: int = 1, digest_sets: bool = False) -> DataFrame:
+    """``docs`` plus signed 64-bit columns fp0, fp1, ... and, on demand, digest (replaced if already there)."""
+    names = [f"fp{k}" for k in range(words)] + ["digest"] * digest_sets
     docs = docs.drop(*names)
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [fingerprints_of(texts, shingle, words) for _, texts in C.text_slices(batch.column(place))]
-            values = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, words), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(words))], names=schema.names)
+            parts = [fingerprints_of(texts, shingle, words, digest_sets) for _, texts in C.text_slices(batch.column(place))]
+            values = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, len(names)), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(names)))], names=schema.names)
 
     return docs.mapInArrow(make, schema)
 
@@ -194,6 +196,41 @@ def link_groups(prints: np.ndarray, starts: np.ndarray, distance: int, total: in
     return child, forest.label[child]
 
 
+def direct_links(prints: np.ndarray, starts: np.ndarray, distance: int, total: int, node: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that link themselves: a forest that joins all pairs of ``link_groups`` or, with
+    ``root``, every pair of different roots.
+
+    The forest takes pairs of up to two thirds of ``total`` first, then by a hash of the two ids,
+    so that groups of much the same members choose much the same links and none is a hub.
+    """
+    tree = GrayTree(np.ascontiguousarray(prints[:, 0]), starts)
+    groups = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(prints))))
+    forest, kept = _Forest(len(prints)), []
+    for q, p in tree.search(tree.value[0], groups, distance):
+        more = (p > q) & (forest.label[q] != forest.label[p] if root is None else root[q] != root[p])
+        q, p = q[more], p[more]
+        far = np.bitwise_count(prints[q] ^ prints[p]).sum(axis=1)
+        close = np.flatnonzero(far <= total)
+        if root is None:
+            a, b = node[q[close]].astype(np.uint64), node[p[close]].astype(np.uint64)
+            dealt = C.mix64(C.mix64(np.minimum(a, b)) ^ np.maximum(a, b))
+            close = close[np.lexsort((dealt, 3 * far[close].astype(np.int64) > 2 * total))]
+        q, p = q[close], p[close]
+        while root is None and len(q):
+            best = np.full(len(prints), len(q))
+            for label in (forest.label[q], forest.label[p]):
+                np.minimum.at(best, label, np.arange(len(q)))
+            taken = np.unique(best[best < len(q)])
+            kept.append((q[taken], p[taken]))
+            forest.join(q[taken], p[taken])
+            apart = forest.label[q] != forest.label[p]
+            q, p = q[apart], p[apart]
+        if len(q):
+            kept.append((q, p))
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate([q for q, _ in kept]), np.concatenate([p for _, p in kept])) if kept else (none, none)
+
+
 def block_masks(blocks: int, distance: int) -> list[int]:
     """Masks of every choice of blocks - distance blocks of the 64 bits."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -201,17 +238,23 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(block, blocks - distance)]
 
 
-def links(prints: DataFrame, distance: int = 4, blocks: int = 6, reach: int | None = None, total: int | None = None) -> DataFrame:
+def links(prints: DataFrame, distance: int = 4, blocks: int = 6, reach: int | None = None, total: int | None = None, direct: bool = False) -> DataFrame:
     """Links (a, b) of the nodes of ``prints`` (node, fp0, ...): a forest that joins all pairs
     within ``distance`` bits of fp0.
 
     With ``reach`` and ``total``, pairs of up to ``reach`` bits that share a pattern link too,
-    and a pair must lie within ``total`` bits over all words.
+    and a pair must lie within ``total`` bits over all words.  Rows of different ``w``, if there is
+    such a column, never meet.  With ``direct``, links are those of ``direct_links``.
     """
     words = [c for c in prints.columns if c.startswith("fp")]
+    n_words, with_root = len(words), "root" in prints.columns
+    words += ["root"] * with_root
     masks = block_masks(blocks, distance)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    dealt = prints.select("node", *words, F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
+    dealt = prints.select("*", F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
+    if "w" in prints.columns:
+        dealt = dealt.withColumn("t", F.col("w") * len(masks) + F.col("t"))
+    dealt = dealt.select("node", *words, "t", "key")
     hot = settle(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK))
     dealt = dealt.join(C.maybe_broadcast(hot, hot.count(), BROADCAST_PATTERNS), ["t", "key"], "left")
     # A tight cluster crowds any slice of bits, so a hot pattern's chunks are dealt by hash.
@@ -230,10 +273,14 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 6, reach: int | No
             rows, size = rows[shared], size[size > 1]
             if not len(rows):
                 continue
-            fp = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+            fp = np.ascontiguousarray(rows[:, 5 : 5 + n_words]).view(np.uint64)
             group = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((gray_rank(fp[:, 0] & ~unsigned[rows[:, 0]]), group))
-            a, b = link_groups(fp[order], np.cumsum(size) - size, limit, total)
+            order = np.lexsort((gray_rank(fp[:, 0] & ~unsigned[rows[:, 0] % len(unsigned)]), group))
+            at = np.cumsum(size) - size
+            if direct:
+                a, b = direct_links(fp[order], at, limit, total, rows[order, 4], rows[order, -1] if with_root else None)
+            else:
+                a, b = link_groups(fp[order], at, limit, total)
             node = rows[order, 4]
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
@@ -280,20 +327,74 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 8, blocks: int = 11) -> DataFrame:
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word shingles of each text."""
+    w = C.Words([C.lower_ascii(t) for t in texts], C.SPACE)
+    h = C.word_hashes(w)
+    runs = C.window_hashes(h, shingle)
+    out = []
+    for lo, hi in itertools.pairwise(w.first.tolist()):
+        out.append(np.unique(runs[lo : hi - shingle + 1]) if hi - lo >= shingle else C.window_hashes(h[lo:hi], hi - lo) if hi > lo else h[:0])
+    return out
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``texts`` (node, text) share ``similarity`` of their shingles or more.
+
+    Pairs are broadcast behind a check of their number; only texts that stand in a pair are shuffled.
+    """
+    n = pairs.count()
+    left = texts.join(C.maybe_broadcast(pairs, n, BROADCAST_PATTERNS), F.col("node") == F.col("a")).select("a", "b", F.col("text").alias("x"))
+    ends = C.maybe_broadcast(pairs.select(F.col("b").alias("node")).distinct(), n, BROADCAST_PATTERNS)
+    right = texts.join(ends, "node", "left_semi").select(F.col("node").alias("b"), F.col("text").alias("y"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for lo in range(0, batch.num_rows, 64):
+                x, y = ([(t or "").encode() for t in batch.column(k).slice(lo, 64).to_pylist()] for k in (2, 3))
+                for i, (s, t) in enumerate(zip(shingle_sets(x, shingle), shingle_sets(y, shingle), strict=True)):
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    keep[lo + i] = both >= similarity * (len(s) + len(t) - both) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 7, words: int = 8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the least id.
 
-    Two texts link when 128 fingerprint bits put the overlap of their shingle sets at
-    ``similarity`` or more.  Candidates share a masked pattern of the first 64 bits: all pairs
-    within ``distance`` of those bits do, and most pairs somewhat further apart.
+    Two texts link when the overlap of their shingle sets is ``similarity`` or more, which is
+    verified on the texts.  Candidates share a masked pattern of one of ``words`` independent
+    fingerprints (each dealt by itself) and differ in little more bits of it and of the next than
+    such texts do on average; of texts exactly at 0.8, 0.995 are expected to share a pattern.
+    First a forest of candidates is verified; where a link of it fails, all candidate pairs
+    between what has been joined are verified too, so every candidate counts.
     Rows that repeat an id are all kept or all dropped; null ids are never dropped.
     """
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    total, reach = round(128 * angle) + 4, round(64 * angle) + 4  # a standard deviation above the mean
-    made = fingerprints(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, words=2)
-    prints = settle(made.select("doc_id", "fp0", "fp1"))
-    distinct = settle(prints.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("node")))
-    tree = components(links(distinct, distance, blocks, reach, total))
-    copies = prints.join(distinct, ["fp0", "fp1"]).filter("doc_id <> node").select(F.col("doc_id").alias("__gone"))
-    gone = copies.union(tree.filter("node <> root").select("node")).distinct()
+    total, reach = round(128 * angle) + 9, round(64 * angle) + 6  # two standard deviations above the mean
+    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
+    names = [f"fp{k}" for k in range(words)]
+    prints = settle(fingerprints(texts, shingle, words=words, digest_sets=True).select(F.col("node").alias("doc_id"), *names, "digest"))
+    distinct = settle(prints.groupBy("digest", *names).agg(F.min("doc_id").alias("node")))
+    least = distinct.groupBy("digest").agg(F.min("node").alias("least"))
+    copies = prints.select("doc_id", "digest").join(least, "digest").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    pair = F.array(*[F.struct(F.col(names[k]).alias("fp0"), F.col(names[(k + 1) % words]).alias("fp1")) for k in range(words)])
+    dealt = distinct.select("node", F.posexplode(pair).alias("w", "s")).select("node", "w", "s.fp0", "s.fp1")
+
+    def candidates(dealt: DataFrame) -> DataFrame:
+        found = links(dealt, distance, blocks, reach, total, direct=True).filter("a <> b")
+        return settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    loose = candidates(dealt)
+    tight = settle(similar(loose, texts, shingle, similarity))
+    of = settle(components(loose))
+    failed = loose.join(tight, ["a", "b"], "left_anti").join(of, F.col("a") == F.col("node")).select("root").distinct()
+    open_ = of.join(failed, "root", "left_semi").select("node")
+    joined = components(tight)
+    open_ = settle(open_.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    more = candidates(dealt.join(open_, "node")).join(loose, ["a", "b"], "left_anti")
+    tree = components(tight.union(similar(settle(more), texts, shingle, similarity)).union(copies))
+    gone = tree.filter("node <> root").select(F.col("node").alias("__gone")).distinct()
     return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")

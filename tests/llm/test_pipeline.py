@@ -102,3 +102,27 @@ def test_stages_take_awkward_rows(spark, name, stage):
     if name == "simhash_near_dedup":
         assert sum(r.doc_id is None for r in rows) == 1 and sum(r.doc_id == 1 for r in rows) == 2
     assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_near_copies_keep_to_the_similarity(spark):
+    """At 0.8 and above nearly all go, below none that nothing links; each against its own original."""
+    import numpy as np
+
+    from skylume.llm import simhash
+
+    rng = np.random.default_rng(8)
+    rows, similar = [], {}
+    for k in range(400):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+        copy = list(base)
+        for i in range(0, 300, int(rng.integers(20, 90))):
+            copy[i] = f"x{k}_{i}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(296)} for t in (base, copy))
+        similar[2 * k + 1] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in simhash.one_of_each(df, shingle=5, similarity=0.8).collect()}
+    assert all(2 * k in left for k in range(400))
+    above, below = [d for d, s in similar.items() if s >= 0.8], [d for d, s in similar.items() if s < 0.8]
+    assert len(above) > 50 < len(below) and all(d in left for d in below)
+    assert sum(d not in left for d in above) >= 0.99 * len(above)
