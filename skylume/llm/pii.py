@@ -8,7 +8,8 @@ characters; spelled digits; "at" and "dot" in words or brackets) while keeping f
 output character the source characters it stands for.  Identifiers are detected in the
 normalised text, together with phones and cards that touch other digits so that the
 base pattern swallowed both, and mapped back to the source.  A span found this way is
-added if it overlaps no base span; base spans always stay.
+added if it overlaps no base span or is longer than all it overlaps and holds them whole;
+base spans always stay.  Redaction takes overlapping spans as one, named for the longest.
 
 Spans are in code points, end exclusive.  Defined cases: null and empty texts have no
 spans; texts are read whole; repeated rows are judged one by one; a document without any
@@ -236,12 +237,13 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         more += [(kind, *normal.source(s, e)) for kind, s, e in found]
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base.sort(key=order)
-    taken = sorted((s, e) for _, s, e in base)
-    added = []
-    for kind, s, e in sorted(set(more), key=order):
-        if not any(s < b and a < e for a, b in taken):
+    taken = [(s, e) for _, s, e in base]
+    added: list[Span] = []
+    for kind, s, e in sorted(set(more), key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
+        if any(s < b and a < e for _, a, b in added):
+            continue
+        if all(s <= a and b <= e and (s, e) != (a, b) for a, b in taken if s < b and a < e):
             added.append((kind, s, e))
-            taken.append((s, e))
     return base, added
 
 
@@ -261,11 +263,11 @@ FOUND = T.StructType(
 
 
 def redact(text: str | None, spans: list[Span]) -> str | None:
-    """The text with each span replaced by its kind in brackets."""
+    """The text with each span replaced by its kind in brackets; of those that begin together the longest."""
     if not spans:
         return text
     out, at = [], 0
-    for kind, s, e in sorted(spans, key=lambda x: x[1:]):
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
         if e > at:
             out.append(text[at : max(s, at)] + f"[{kind.upper()}]" if s >= at else "")
             at = e

@@ -176,6 +176,26 @@ def test_pii_long_digit_and_word_runs_are_linear():
 # ------------------------------------------------------------------------ 5 simhash
 
 
+@pytest.mark.parametrize(
+    "text,whole",
+    [
+        ("mail j\u043ehn.doe@example.com now", "j\u043ehn.doe@example.com"),
+        ("ask john dot doe@example.com now", "john dot doe@example.com"),
+        ("ask john@mail.example dot com now", "john@mail.example dot com"),
+    ],
+)
+def test_disguises_caught_in_part_are_found_whole(text, whole):
+    base, added = pii.find(text)
+    assert len(base) == 1 and [text[s:e] for _, s, e in added] == [whole]
+    assert pii.redact(text, base + added) == text.replace(whole, "[EMAIL]")
+
+
+def test_spans_across_the_border_of_a_base_span_stay_out():
+    text = "reach me at john.doe@example.com"
+    base, added = pii.find(text)
+    assert [text[s:e] for _, s, e in base] == ["john.doe@example.com"] and added == []
+
+
 def test_simhash_equals_brute_force(spark, awkward, real):
     for df in (awkward, real):
         got = simhash.near_duplicates(df, shingle=4, distance=4).collect()
