@@ -81,45 +81,70 @@ def train_gcn2(nodes: DataFrame, edges: DataFrame, train_ids: DataFrame, hidden:
 
 
 def _train_propagated(nodes: DataFrame, norm: DataFrame, train_ids: DataFrame, hidden: int, classes: int, epochs: int, seed: int):
-    """The way for large graphs: features are propagated twice on Spark, once and for all, and a
-    network without the inner relu's second hop is fitted by gradients summed over partitions."""
+    """The way for large graphs: A X once, and in each epoch a product with A on the way forth
+    and one with its transpose on the way back, all on Spark; gradients are summed over rows."""
     import pandas as pd
 
     from skylume.operators.models import sum_neighbours
     from skylume.session import settle
 
     width = len(nodes.select("x").first()["x"])
-    h = nodes.select(F.col("node_id").alias("node"), F.col("x").alias("h"))
-    for _ in range(2):
-        h = sum_neighbours(h, norm, width, [], "w")
-    data = h.join(nodes.select(F.col("node_id").alias("node"), "y"), "node").join(train_ids.select(F.col("node_id").alias("node")), "node", "left_semi")
-    data = settle(data.select("h", "y"))
-    count = data.count()
+    norm = settle(norm)
+    flipped = norm.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    ax = settle(sum_neighbours(nodes.select(F.col("node_id").alias("node"), F.col("x").alias("h")), norm, width, [], "w").withColumnRenamed("h", "ax"))
+    labels = settle(nodes.select(F.col("node_id").alias("node"), "y").join(train_ids.select(F.col("node_id").alias("node")), "node", "left_semi"))
+    count = labels.count()
     values = _start(width, hidden, classes, seed)
     adam, losses, best = Adam([v.shape for v in values]), [], None
-    shapes = [v.shape for v in values]
+
+    def summed(rows: DataFrame, f) -> np.ndarray:
+        """Sum over batches of the vector ``f`` makes of each."""
+
+        def run(batches):
+            total = None
+            for pdf in batches:
+                if len(pdf):
+                    total = f(pdf) if total is None else total + f(pdf)
+            if total is not None:
+                yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+        return rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas()["v"].to_numpy()
+
     for _ in range(epochs):
         w1, b1, w2, b2 = values
 
-        def gradients(batches, w1=w1, b1=b1, w2=w2, b2=b2):
-            total = np.zeros(sum(int(np.prod(s)) for s in shapes) + 1)
+        def forth(batches, w1=w1, b1=b1):
+            for pdf in batches:
+                h = np.maximum(np.stack(pdf["ax"].to_list()) @ w1 + b1, 0) if len(pdf) else []
+                yield pd.DataFrame({"node": pdf["node"], "h": list(h)})
+
+        def error(pdf, w2=w2, b2=b2):
+            h, truth = np.stack(pdf["h"].to_list()), np.eye(classes)[pdf["y"].to_numpy()]
+            p = softmax(h @ w2 + b2)
+            return h, p, truth, (p - truth) / count
+
+        def outer(pdf, error=error):
+            h, p, truth, g = error(pdf)
+            return np.concatenate([(h.T @ g).ravel(), g.sum(axis=0), [-np.log((p * truth).sum(axis=1)).sum() / count]])
+
+        def back(batches, error=error, w2=w2):
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, y = np.stack(pdf["h"].to_list()), np.eye(classes)[pdf["y"].to_numpy()]
-                z = x @ w1 + b1
-                a = np.maximum(z, 0)
-                p = softmax(a @ w2 + b2)
-                g = (p - y) / count
-                back = (g @ w2.T) * (z > 0)
-                total += np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), (a.T @ g).ravel(), g.sum(axis=0), [-np.log((p * y).sum(axis=1)).sum() / count]])
-            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
-
-        sums = data.mapInPandas(gradients, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas()["v"].to_numpy()
-        losses.append(float(sums[-1]))
+                yield pd.DataFrame({"node": pdf["node"], "h": list(error(pdf)[3] @ w2.T) if len(pdf) else []})
+
+        def inner(pdf, w1=w1, b1=b1):
+            x = np.stack(pdf["ax"].to_list())
+            g = np.stack(pdf["h"].to_list()) * (x @ w1 + b1 > 0)
+            return np.concatenate([(x.T @ g).ravel(), g.sum(axis=0)])
+
+        spread = sum_neighbours(ax.mapInPandas(forth, "node long, h array<double>"), norm, hidden, [], "w").join(labels, "node").persist()
+        second = summed(spread, outer)
+        back_spread = sum_neighbours(spread.mapInPandas(back, "node long, h array<double>"), flipped, hidden, [], "w")
+        first = summed(back_spread.join(ax, "node"), inner)
+        spread.unpersist()
+        losses.append(float(second[-1]))
         if best is None or losses[-1] < best[0]:
             best = (losses[-1], [v.copy() for v in values])
-        parts = np.split(sums[:-1], np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        values = adam.step(values, [p.reshape(s) for p, s in zip(parts, shapes, strict=True)])
+        grads = [first[: w1.size].reshape(w1.shape), first[w1.size :], second[: w2.size].reshape(w2.shape), second[w2.size : -1]]
+        values = adam.step(values, grads)
     w1, b1, w2, b2 = best[1]
     return [(w1.tolist(), b1.tolist()), (w2.tolist(), b2.tolist())], losses

@@ -340,7 +340,7 @@ def train(spark, sf):
 
     nodes, edges = _near(spark, sf)
     split = graphs.split_positional(nodes, nodes.count(), 1).filter("split = 'train'").select("node_id")
-    _, losses = train_gcn2(nodes, edges, split, P.hidden, P.classes, epochs=20, seed=P.seed)
+    _, losses = train_gcn2(nodes, edges, split, P.hidden, P.classes, epochs=200, seed=P.seed)
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(losses)], "epoch int, loss double")
 
 

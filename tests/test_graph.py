@@ -265,3 +265,17 @@ def test_average_link_equals_search_of_all_pairs():
             i, j = min(((i, j) for i in groups for j in groups if i < j), key=lambda p: (mean(groups[p[0]], groups[p[1]]), p))  # noqa: B023
             groups[i] += groups.pop(j)
         assert partition.average_link(d, parts) == [sorted(g) for g in groups.values()]
+
+
+def test_training_is_the_same_on_spark(spark, g7, monkeypatch):
+    from skylume.operators import training
+
+    nodes, edges, _ = g7
+    ids = nodes.select("node_id").filter("node_id < 5")
+    layers, losses = training.train_gcn2(nodes, edges, ids, 4, 2, epochs=4)
+    monkeypatch.setattr(training, "LOCAL_VALUES", 0)
+    far_layers, far = training.train_gcn2(nodes, edges, ids, 4, 2, epochs=4)
+    np.testing.assert_allclose(far, losses, rtol=1e-9)
+    for (w, b), (v, c) in zip(layers, far_layers, strict=True):
+        np.testing.assert_allclose(v, w, atol=1e-9)
+        np.testing.assert_allclose(c, b, atol=1e-9)
