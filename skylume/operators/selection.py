@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from skylume.operators.traversal import capped_distances, degree_rank, lex_first_independent
 
+#: Hops fetched at once when groups grow.
+AHEAD = 3
+
 
 def eligible(ranks: DataFrame, ego_sizes: DataFrame, max_ego: int) -> DataFrame:
     """Ranked nodes whose ego has at most ``max_ego`` nodes."""
@@ -59,31 +62,43 @@ def grow(seeds: list[int], near: dict[int, list[int]], allowed: set[int], size:
     return groups
 
 
+class _Fetched(dict):
+    """Sorted eligible neighbours, fetched with those around a node when the growth first asks for it."""
+
+    def __init__(self, edges: DataFrame, allowed: set[int]):
+        super().__init__()
+        self.edges, self.allowed = edges, allowed
+
+    def get(self, v: int, default=()) -> list[int]:
+        if v not in self:
+            here = [v]
+            for _ in range(AHEAD):
+                found: dict[int, set[int]] = {u: set() for u in here}
+                for r in self.edges.filter(F.col("src").isin(here)).collect():
+                    found[r["src"]].add(r["dst"])
+                self.update((u, sorted(near)) for u, near in found.items())
+                self.allowed.update(u for near in found.values() for u in near)
+                here = sorted({u for near in found.values() for u in near if u not in self})
+                if not here:
+                    break
+        return self[v]
+
+
 def test_nodes(edges: DataFrame, ego_sizes: DataFrame, groups: int, size: int, cap: int, max_ego: int, seed: int = 42) -> DataFrame:
     """(cluster, pos, node): seeds and their grown groups.
 
-    Growing takes nodes one by one; it runs on the driver over the eligible nodes within the
-    reach that ``groups * size`` nodes can need, so its input does not follow the graph.
+    Growing takes nodes one by one; it runs on the driver and asks for the eligible neighbours of
+    the nodes it takes, and of those close by, when it comes to them.  At most ``groups * size``
+    nodes are taken and their egos are bounded, so its input does not follow the graph.
     """
     from skylume.operators.partition import as_table
-    from skylume.operators.traversal import khop_nodes
+    from skylume.session import settle
 
-    ranks = eligible(degree_rank(edges), ego_sizes, max_ego)
+    ranks = settle(eligible(degree_rank(edges), ego_sizes, max_ego))
     seeds = [r["node"] for r in select_seeds(edges, ranks, groups, cap).orderBy("rank").collect()]
-    spark = edges.sparkSession
-    roots = spark.createDataFrame([(s,) for s in seeds], "vt long")
-    reach, hops = khop_nodes(edges, roots, 2), 2
-    wanted = 2 * groups * size
-    total = ranks.count()
-    while reach.select("node").distinct().count() < min(wanted, total) and hops < 12:
-        hops += 1
-        reach = khop_nodes(edges, roots, hops)
-    nodes = reach.select("node").distinct()
-    extra = ranks.select("node").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string")).cast("binary")), "node").limit(wanted)
-    pool = nodes.join(ranks.select("node"), "node", "left_semi").union(extra).distinct()
-    allowed = {r["node"] for r in pool.collect()}
-    near: dict[int, list[int]] = {}
-    inside = edges.join(pool.select(F.col("node").alias("src")), "src", "left_semi").join(pool.select(F.col("node").alias("dst")), "dst", "left_semi")
-    for r in inside.select("src", "dst").orderBy("src", "dst").collect():
-        near.setdefault(r["src"], []).append(r["dst"])
-    return as_table(spark, grow(seeds, near, allowed, size, seed))
+    inside = edges.join(ranks.select(F.col("node").alias("src")), "src", "left_semi").join(ranks.select(F.col("node").alias("dst")), "dst", "left_semi")
+    # So many nodes in hashed order hold a free one as long as there is one at all.
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string")).cast("binary"))
+    allowed = {r["node"] for r in ranks.select("node").orderBy(order, "node").limit(groups * size).collect()} | set(seeds)
+    near = _Fetched(settle(inside.select("src", "dst")), allowed)
+    return as_table(edges.sparkSession, grow(seeds, near, allowed, size, seed))

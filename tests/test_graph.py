@@ -279,3 +279,20 @@ def test_training_is_the_same_on_spark(spark, g7, monkeypatch):
     for (w, b), (v, c) in zip(layers, far_layers, strict=True):
         np.testing.assert_allclose(v, w, atol=1e-9)
         np.testing.assert_allclose(c, b, atol=1e-9)
+
+
+def test_groups_grow_over_the_whole_graph(spark):
+    """A hub fills any pool of fixed size; the chain's group still follows the chain."""
+    pairs = [(0, v) for v in range(1, 80)] + [(v, v + 1) for v in range(100, 160)]
+    pairs = sorted({p for a, b in pairs for p in ((a, b), (b, a))})
+    edges = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "edge_id long, src long, dst long")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    sizes = spark.createDataFrame([(v, 1) for v in near], "vt long, n long")
+    got = {}
+    for r in selection.test_nodes(edges, sizes, 2, 15, 2, 10).orderBy("cluster", "pos").collect():
+        got.setdefault(r.cluster, []).append(r.node)
+    seeds = [got[0][0], got[1][0]]
+    assert list(got.values()) == selection.grow(seeds, near, set(near), 15) and min(got[1]) >= 100
+    assert got[1][0] >= 100 and max(got[1]) - min(got[1]) == 14
