@@ -7,7 +7,8 @@ runs over pieces of ``PIECE`` tokens at once as products of state matrices, whic
 chained from piece to piece, so that it is exact for texts of any length.
 
 Vocabulary: every distinct training word is counted.  Words at or above a count threshold
-that leaves at most ``symbols`` of them are symbols of their own; all others emit one of 256
+that leaves at most ``symbols`` of them (2^20 by default, so all words of most corpora) are
+symbols of their own, with emissions of their own; all others emit one of 256
 classes (by their last bytes), and a word's share of its class follows its count, with one
 place for unknown words, so the probabilities of all words sum to one.  Counts of at most
 ``HEAD`` frequent words are broadcast (16 bytes each, a fixed bound); the rest of the tokens
@@ -175,9 +176,9 @@ def _encode(rows: pa.RecordBatch, texts: list[bytes], v: Vocabulary) -> pa.Recor
     known = sums(found.astype(float)).astype(np.int64) + (v.ends > 0)
     base = sums(np.where(found, v.base(count), 0.0)) + v.base(np.array(v.ends))
     size = np.diff(w.first)
-    seq = np.full(len(inverse) + n, v.end, dtype=np.uint16)
+    seq = np.full(len(inverse) + n, v.end, dtype=np.uint32)
     seq[np.arange(len(inverse)) + owner] = seq_of[inverse]
-    offsets = np.concatenate(([0], np.cumsum(2 * (size + 1)))).astype(np.int32)
+    offsets = np.concatenate(([0], np.cumsum(4 * (size + 1)))).astype(np.int32)
     rare = np.flatnonzero(~found[inverse])
     tail_at = np.searchsorted(rare, w.first).astype(np.int32)
     tail = pa.StructArray.from_arrays([pa.array(u[inverse[rare]].view(np.int64)), pa.array(cls[inverse[rare]].astype(np.int32))], names=["h", "c"])
@@ -197,8 +198,8 @@ def _encode(rows: pa.RecordBatch, texts: list[bytes], v: Vocabulary) -> pa.Recor
 
 def _sequences(column, limit: int = 1 << 20):
     """(first row, symbols of all rows, where each row begins) in slices of bounded size."""
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
-    values = np.frombuffer(column.buffers()[2], dtype=np.uint16)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    values = np.frombuffer(column.buffers()[2], dtype=np.uint32)
     lo = 0
     while lo < len(column):
         hi = min(len(column), max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit // 4, side="right")) - 1))
@@ -216,6 +217,13 @@ class Hmm:
     emit: np.ndarray  # states x symbols
 
 
+def _local(seq: np.ndarray, m: Hmm) -> tuple[np.ndarray, np.ndarray, Hmm]:
+    """The symbols that occur, the sequence as places among them, and the model of those alone,
+    so that a slice costs no more for a large vocabulary."""
+    used, place = np.unique(seq, return_inverse=True)
+    return used, place, Hmm(m.start, m.move, m.emit[:, used])
+
+
 class _Pieces:
     """Sequences cut into pieces of PIECE tokens, longest pieces first."""
 
@@ -355,8 +363,13 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = 6, rounds: int
             m, total = shared.value, None
             for batch in batches:
                 for _, seq, first in _sequences(batch.column(0)):
-                    one = expected_counts(seq, first, m)[:3]
-                    total = one if total is None else tuple(a + b for a, b in zip(total, one, strict=True))
+                    used, place, mine = _local(seq, m)
+                    start, move, emit = expected_counts(place, first, mine)[:3]
+                    if total is None:
+                        total = np.zeros(len(start)), np.zeros(move.shape), np.zeros(m.emit.shape)
+                    total[0][:] += start
+                    total[1][:] += move
+                    total[2][:, used] += emit
             if total is not None:
                 all_counts = np.column_stack([total[0][:, None], total[1], total[2]])
                 for i, row in enumerate(all_counts):
@@ -380,7 +393,10 @@ def score(encoded: DataFrame, model: Hmm) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [log_likelihood(seq, first, shared.value) / np.log(10) for _, seq, first in _sequences(batch.column(7))]
+            parts = []
+            for _, seq, first in _sequences(batch.column(7)):
+                _, place, mine = _local(seq, shared.value)
+                parts.append(log_likelihood(place, first, mine) / np.log(10))
             out = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(out)], names=[*names, "forward"])
 
@@ -388,7 +404,7 @@ def score(encoded: DataFrame, model: Hmm) -> DataFrame:
     return encoded.select(*names, "seq").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip([*names, "forward"], kinds, strict=True)))
 
 
-def score_texts(docs: DataFrame, train_when: Column, held_out: Column, doc_id: str = "doc_id", text: str = "text", states: int = 6, rounds: int = 4, symbols: int = 4096, head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, train_when: Column, held_out: Column, doc_id: str = "doc_id", text: str = "text", states: int = 6, rounds: int = 4, symbols: int = HEAD, head: int = HEAD) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     learnt = docs.filter(train_when)
     counts = C.settle(word_counts(learnt.select(F.col(text).alias("text"))))

@@ -389,3 +389,13 @@ def test_slices_cover_all_rows():
     column = pa.array(["a" * 5, None, "", "b" * 30, "c"]).slice(1)
     parts = [(lo, t) for lo, t in C.text_slices(column, limit=8)]
     assert [x for _, t in parts for x in t] == [b"", b"", b"b" * 30, b"c"] and parts[0][0] == 0
+
+
+def test_every_word_has_emissions_of_its_own(spark):
+    """Two kinds of text over 6000 words: more words than 4096 symbols, all told apart by state."""
+    rng = np.random.default_rng(6)
+    kinds = [[f"k{j}w{i}x" for i in range(3000)] for j in range(2)]
+    texts = [(k, " ".join(kinds[k % 2][i] for i in rng.permutation(3000))) for k in range(8)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    run = lambda **kw: sum(r.score for r in hmm.score_texts(df, F.lit(True), F.lit(False), states=2, rounds=4, **kw).collect())
+    assert run() > run(symbols=4096) + 1000
