@@ -399,3 +399,10 @@ def test_every_word_has_emissions_of_its_own(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     run = lambda **kw: sum(r.score for r in hmm.score_texts(df, F.lit(True), F.lit(False), states=2, rounds=4, **kw).collect())
     assert run() > run(symbols=4096) + 1000
+
+
+def test_language_machines_learn_from_500_documents_in_300_rounds():
+    import inspect
+
+    assert inspect.signature(langid.train).parameters["per_language"].default == 500
+    assert inspect.signature(langid.train_svm).parameters["rounds"].default == 300
