@@ -3,19 +3,17 @@
 Method: the character-class histogram and the common-word histogram of a document are
 compared with those of its language by Jensen-Shannon distance (base 2, 0 to 1).  Short
 documents prove little, so each comparison has a minimum length below which it is
-skipped.  The references are counted over all documents with a known language:
-
-1. every slice of texts reports the words that make up at least ``1 / HEAVY`` of a
-   language's words in it; a word that common in the whole corpus is that common in some
-   slice, so no common word can be missed;
-2. a second pass counts those candidates exactly, together with the character classes;
-   the ``common`` most frequent words of each language stay.
+skipped.  The references are counted over all documents with a known language: tasks
+count words and character classes, Spark adds up, and the ``common`` most frequent words
+of each language stay.
 
 A document without a known language is held against the closest reference.  The base
 rules (words, symbols, repeated lines and 8-word windows) are exact.
 
 Defined cases: null or empty text has no words and fails the base rules; an empty table
-stays empty; without any reference the verdict is True; repeated rows count one by one.
+stays empty; without any reference the verdict is True; repeated rows count one by one;
+a text of any length is read whole, as a slice of its own.  Columns of the names made are
+replaced, all others of whatever names pass through.
 """
 
 from __future__ import annotations
@@ -27,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import common as C
 
-HEAVY = 500
-
 _CLASS_NAMES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "control", "letter2", "letter3", "letter4", "inner")
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[:] = 6
@@ -114,61 +111,63 @@ def _slices(batches: Iterator[pa.RecordBatch]):
             yield langs[lo : lo + len(texts)], texts
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words common within a slice: (lang, h, n), n within the slice."""
+#: Distinct words a task gathers before it hands on their counts.
+GATHER = 1 << 20
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, h, n) of the words and, with null h, (lang, k, n) of the character classes."""
+    held: dict[str, list[np.ndarray]] = {}
+    classes: dict[str, np.ndarray] = {}
+    size = 0
+
+    def out(lang: str, words: list[np.ndarray]) -> pa.RecordBatch:
+        h, at = np.unique(np.concatenate([x[0] for x in words]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([x[1] for x in words])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int32()), pa.array(n)], names=["lang", "h", "k", "n"])
+
     for langs, texts in _slices(batches):
         w, h = _lower_words(texts)
-        owner = np.array(langs, dtype=object)[w.owner()]
-        for lang in set(langs) - {None}:
-            words, n = np.unique(h[owner == lang], return_counts=True)
-            heavy = n * HEAVY >= max(1, n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * int(heavy.sum()), pa.string()), pa.array(words[heavy].view(np.int64)), pa.array(n[heavy].astype(np.int64))], names=["lang", "h", "n"])
+        owner = w.owner()
+        by_text = class_counts(C.Words(texts, C.SPACE))
+        names = np.array(langs, dtype=object)
+        for name in set(langs) - {None}:
+            words, n = np.unique(h[(names == name)[owner]], return_counts=True)
+            held.setdefault(name, []).append((words, n))
+            size += len(words)
+            classes[name] = classes.get(name, 0) + by_text[names == name].sum(axis=0)
+        if size > GATHER:
+            for name, words in held.items():
+                yield out(name, words)
+            held, size = {}, 0
+    for name, words in held.items():
+        yield out(name, words)
+    for name, total in classes.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name] * _CLASSES, pa.string()), pa.nulls(_CLASSES, pa.int64()), pa.array(np.arange(_CLASSES), pa.int32()), pa.array(total)], names=["lang", "h", "k", "n"])
 
 
 def references(docs: DataFrame, common: int = 64, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """{language: (class counts, hashes of common words, their counts and the rest's)}, over all rows.
 
-    The driver holds ``common`` numbers for each language, whatever the corpus size.
+    All words are counted, so the result is the same however the rows lie.  Of words equally
+    common those of lesser hashes count as more common.  The driver holds ``common`` numbers for
+    each language, whatever the corpus size.
     """
     slim = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("l is not null")
-    wanted = 4 * common
-    found = slim.mapInArrow(_candidates, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    ranked = found.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "h")), asc=False), 1, wanted).alias("top")).collect()
-    candidates = {r["lang"]: np.sort(np.array([x["h"] for x in r["top"]], dtype=np.int64).view(np.uint64)) for r in ranked}
-    shared = docs.sparkSession.sparkContext.broadcast(candidates)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, np.ndarray] = {}
-        classes: dict[str, np.ndarray] = {}
-        for langs, texts in _slices(batches):
-            w, h = _lower_words(texts)
-            owner = w.owner()
-            by_text = class_counts(C.Words(texts, C.SPACE))
-            names = np.array(langs, dtype=object)
-            for name in set(langs) - {None}:
-                known = shared.value.get(name, np.zeros(0, np.uint64))
-                mine = h[(names == name)[owner]]
-                total = words.setdefault(name, np.zeros(len(known) + 1, dtype=np.int64))
-                if len(known):
-                    k = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                    k[known[k] != mine] = len(known)
-                    total += np.bincount(k, minlength=len(known) + 1)
-                else:
-                    total[0] += len(mine)
-                classes[name] = classes.get(name, 0) + by_text[names == name].sum(axis=0)
-        for name, total in words.items():
-            rows = [(i, int(x)) for i, x in enumerate(total)] + [(-1 - i, int(x)) for i, x in enumerate(classes[name])]
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(rows), "k": [r[0] for r in rows], "n": [r[1] for r in rows]})
-
-    counted = slim.mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()
+    counted = C.settle(slim.mapInArrow(_count, "lang string, h long, k int, n long").groupBy("lang", "h", "k").agg(F.sum("n").alias("n")))
+    words = counted.filter("h is not null")
+    # The rank is limited before the shuffle as well, so no task sorts a language's words.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "h"))
+    top = words.withColumn("r", rank).filter(F.col("r") <= common).select("lang", "h", "n").collect()
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    classes = counted.filter("k is not null").select("lang", "k", "n").collect()
+    C.release(counted)
     out = {}
-    for name in {r["lang"] for r in counted}:
-        n = {r["k"]: r["n"] for r in counted if r["lang"] == name}
-        known = candidates.get(name, np.zeros(0, np.uint64))
-        counts = np.array([n.get(i, 0) for i in range(len(known))], dtype=np.int64)
-        top = np.sort(np.lexsort((known, -counts))[:common])
-        rest = n.get(len(known), 0) + counts.sum() - counts[top].sum()
-        out[name] = (np.array([n.get(-1 - i, 0) for i in range(_CLASSES)]), known[top], np.append(counts[top], rest))
+    for name in sorted({r["lang"] for r in classes}):
+        mine = sorted((r["h"] % (1 << 64), r["n"]) for r in top if r["lang"] == name)
+        n = np.array([c for _, c in mine], dtype=np.int64)
+        by_class = {r["k"]: r["n"] for r in classes if r["lang"] == name}
+        out[name] = (np.array([by_class[k] for k in range(_CLASSES)]), np.array([h for h, _ in mine], dtype=np.uint64), np.append(n, totals.get(name, 0) - n.sum()))
     return out
 
 
@@ -190,8 +189,8 @@ def judge(
     text is too short to tell), ``base_failed`` and ``kept``; such columns are replaced.
     """
     more = [*BASE, ("class_distance", T.DoubleType()), ("word_distance", T.DoubleType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
-    docs = docs.drop(*(n for n, _ in more if n in docs.columns))
     known = references(docs, common, text, lang) if reference is None else reference
+    docs = docs.drop(*(n for n, _ in more if n in docs.columns))
     shared = docs.sparkSession.sparkContext.broadcast(known)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in more)])
     at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
