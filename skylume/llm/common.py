@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests)."""
+    """The shared folder of the session; a temporary one only where none is set and all runs in
+    one process (tests).  On a cluster a folder of one machine would be lost with it: an error."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -25,6 +26,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return shared
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skylume-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -42,6 +45,33 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*settled: DataFrame) -> None:
+    """Delete the files of ``settle`` once nothing reads them any more."""
+    for df in settled:
+        spark = df.sparkSession
+        files = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if files.isDefined():
+            delete_folder(spark, files.get())
+
+
+#: Columns that an operator does not read travel under this name.
+_EXTRA = "__extra"
+
+
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns ``read``, and all others as one, so that their names cannot clash with ours."""
+    extra = [c for c in docs.columns if c not in read]
+    return docs.select(*(c for c in docs.columns if c in read), F.struct(*extra).alias(_EXTRA)) if extra else docs
+
+
+def unpacked(found: DataFrame, docs: DataFrame, *made: str) -> DataFrame:
+    """``found`` with the columns of ``docs`` in their order, then those ``made``, which replace
+    columns of their names that were there."""
+    own = [c for c in docs.columns if c not in made]
+    inside = set(docs.columns) - set(found.columns)
+    return found.select(*(F.col(_EXTRA)[c].alias(c) if c in inside else F.col(c) for c in own), *made)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint only when the counted rows stay within the limit; else a shuffle join."""
     return F.broadcast(df) if rows <= limit else df

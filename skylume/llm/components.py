@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 #: Rounds after which something must be wrong (they grow with the logarithm of the nodes).
 MAX_ROUNDS = 60
@@ -41,6 +41,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         after = settle(_small_star(_large_star(links)))
         now = after.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+        release(links)
         links, same = after, now == state
         state = now
         if same:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import maybe_broadcast, settle
+from .common import maybe_broadcast, release, settle
 
 #: Ways of a bisection step, steps, digits kept of a weight.
 WAYS, STEPS, DIGITS = 64, 5, 9
@@ -48,37 +48,34 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _measures(sources: DataFrame, alphas: list[float], budget: float) -> list:
-    """For each exponent: entropy and largest number of repetitions, in the given order."""
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a")) for i, a in enumerate(alphas)]))
-    rows = sources.select("t", F.log("p").alias("l"), grid.alias("g")).select("t", "l", "g.i", F.exp(F.col("g.a") * F.col("l")).alias("w"), F.col("g.a").alias("a"))
+def _measures(sources: DataFrame, brackets: list[tuple[float, float]], budget: float) -> list[list]:
+    """For each bracket, cut in ``WAYS``: entropy and largest number of repetitions at each exponent."""
+    places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(lo).alias("lo"), F.lit(hi - lo).alias("width")) for j, (lo, hi) in enumerate(brackets)])
+    rows = sources.select("t", F.log("p").alias("l"), F.explode(places).alias("g")).select("t", "l", "g.*", F.explode(F.sequence(F.lit(0), F.lit(WAYS))).alias("i"))
+    rows = rows.withColumn("a", F.col("lo") + F.col("width") * F.col("i") / WAYS).withColumn("w", F.exp(F.col("a") * F.col("l")))
     z = F.sum("w")
-    out = rows.groupBy("i").agg((F.log(z) - F.first("a") * F.sum(F.col("w") * F.col("l")) / z).alias("h"), (F.max(F.col("w") / F.col("t")) * F.lit(budget) / z).alias("r"))
-    return [(r["h"], r["r"]) for r in out.orderBy("i").collect()]
+    found = rows.groupBy("j", "i").agg((F.log(z) - F.first("a") * F.sum(F.col("w") * F.col("l")) / z).alias("h"), (F.max(F.col("w") / F.col("t")) * F.lit(budget) / z).alias("r"))
+    out: list[list] = [[None] * (WAYS + 1) for _ in brackets]
+    for r in found.collect():
+        out[r["j"]][r["i"]] = r["h"], r["r"]
+    return out
 
 
 def find_exponent(sources: DataFrame, entropy_share: float, max_repeats: float, budget: float) -> float:
-    """Exponent in [0, 1] for sources (t tokens, p share)."""
+    """Exponent in [0, 1] for sources (t tokens, p share): both limits are bisected side by side."""
     n = sources.count()
     if n < 2:
         return 1.0
     target = entropy_share * math.log(n)
-
-    def search(ok_below: bool, good) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(STEPS):
-            alphas = [lo + (hi - lo) * k / WAYS for k in range(WAYS + 1)]
-            oks = [good(*m) for m in _measures(sources, alphas, budget)]
-            if ok_below:
-                k = max((i for i, ok in enumerate(oks) if ok), default=0)
-                lo, hi = alphas[k], alphas[min(k + 1, WAYS)]
-            else:
-                k = min((i for i, ok in enumerate(oks) if ok), default=WAYS)
-                lo, hi = alphas[max(k - 1, 0)], alphas[k]
-        return lo if ok_below else hi
-
-    # Entropy falls as the exponent grows; so does the number of repetitions.
-    return max(search(True, lambda h, r: h >= target), search(False, lambda h, r: r <= max_repeats))
+    even, rare = (0.0, 1.0), (0.0, 1.0)
+    for _ in range(STEPS):
+        by_entropy, by_repeats = _measures(sources, [even, rare], budget)
+        # Entropy falls as the exponent grows; so does the number of repetitions.
+        k = max((i for i, (h, _) in enumerate(by_entropy) if h >= target), default=0)
+        even = tuple(even[0] + (even[1] - even[0]) * i / WAYS for i in (k, min(k + 1, WAYS)))
+        k = min((i for i, (_, r) in enumerate(by_repeats) if r <= max_repeats), default=WAYS)
+        rare = tuple(rare[0] + (rare[1] - rare[0]) * i / WAYS for i in (max(k - 1, 0), k))
+    return max(even[0], rare[1])
 
 
 def plan(docs: DataFrame, entropy_share: float = 0.95, max_repeats: float = 4.0, budget_share: float = 1.0, block_tokens: int = 100_000, seed: int = 7) -> DataFrame:
@@ -125,18 +122,32 @@ def _place(seed: int) -> dict[str, Column]:
     return {"block": block, "block_order": hashed(F.lit(f"{seed}o"), F.col("__s"), block.cast("string"))}
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", entropy_share: float = 0.95, max_repeats: float = 4.0, budget_share: float = 1.0, block_tokens: int = 100_000, seed: int = 7) -> DataFrame:
+MADE = ("n_tokens", "weight", "copies", "block", "block_order")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", tokens: str | None = None, entropy_share: float = 0.95, max_repeats: float = 4.0, budget_share: float = 1.0, block_tokens: int = 100_000, seed: int = 7) -> DataFrame:
     """``docs`` plus n_tokens, weight (of the source), copies (times the document is taken),
-    block and block_order (sort by these for the permuted order).  Such columns are replaced.
+    block and block_order (sort by these for the permuted order).
+
+    Such columns are replaced; all others, of whatever names, pass through.  Texts are read once
+    for the plan and once for the result; where ``docs`` has the numbers of tokens in a column
+    ``tokens``, not at all.
     """
-    docs = docs.drop(*(c for c in ("n_tokens", "weight", "copies", "block", "block_order") if c in docs.columns))
+    read = [doc_id, source, text if tokens is None else tokens]
+    count = n_tokens(F.col(text)) if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0).cast("long"))
     key = F.concat(F.when(F.col(source).isNull(), "-").otherwise("+"), F.coalesce(F.col(source).cast("string"), F.lit("")))
-    marked = docs.withColumns({"__s": key, "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__n": n_tokens(F.col(text))})
-    sources = plan(marked.select("__s", "__id", "__n"), entropy_share, max_repeats, budget_share, block_tokens, seed)
+    own = [F.col(c).alias(f"__{k}") for k, c in enumerate(read)]
+    extra = F.struct(*[c for c in docs.columns if c not in read]).alias("__extra")
+    marked = docs.select(*own, extra, key.alias("__s"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("__id"), count.alias("__n"))
+    slim = settle(marked.select("__s", "__id", "__n"))
+    sources = plan(slim, entropy_share, max_repeats, budget_share, block_tokens, seed)
+    release(slim)
     slim = sources.select("__s", "weight", "passes", "rest", "blocks", "cut_order", "cut_block", "last_order")
     found = marked.join(maybe_broadcast(slim, sources.count(), BROADCAST_SOURCES), "__s").withColumns(_place(seed))
     order = hashed(F.lit(f"{seed}d"), F.col("__id"))
     earlier = (F.col("block_order") < F.col("cut_order")) | ((F.col("block_order") == F.col("cut_order")) & (F.col("block") < F.col("cut_block")))
     at_cut = (F.col("block_order") == F.col("cut_order")) & (F.col("block") == F.col("cut_block")) & (order <= F.col("last_order"))
-    extra = F.when(F.col("rest") > 0, F.coalesce(earlier | at_cut, F.lit(False))).otherwise(F.lit(False))
-    return found.withColumn("copies", (F.col("passes") + extra.cast("long")).cast("long")).select(*docs.columns, F.col("__n").alias("n_tokens"), "weight", "copies", "block", "block_order")
+    one_more = F.when(F.col("rest") > 0, F.coalesce(earlier | at_cut, F.lit(False))).otherwise(F.lit(False))
+    back = [F.col(f"__{read.index(c)}" if c in read else f"__extra.`{c}`").alias(c) for c in docs.columns if c not in MADE]
+    copies = (F.col("passes") + one_more.cast("long")).cast("long").alias("copies")
+    return found.select(*back, F.col("__n").alias("n_tokens"), "weight", copies, "block", "block_order")

@@ -16,11 +16,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=400).drop("text")
 
 
+#: The mixture of the query: as even as this share of the full entropy, no source more often than this.
+MIX_ENTROPY, MIX_REPEATS, MIX_BLOCK = 0.9999, 1.25, 100_000
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import mix, n_tokens
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mix(docs, entropy_share=0.95, max_repeats=4.0, budget_share=1.0, block_tokens=MIX_BLOCK, seed=7)
+    docs = settle(table(spark, sf_dir, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")))
+    out = mix(docs, tokens="n_tokens", entropy_share=MIX_ENTROPY, max_repeats=MIX_REPEATS, budget_share=1.0, block_tokens=MIX_BLOCK, seed=7)
     return out.select("doc_id", "source", "n_tokens", "weight", "copies", "block", "block_order")
 
 
@@ -85,14 +89,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", F.coalesce(fold() == 0, F.lit(False)).alias("held_out")), model).drop("text")
 
 
-MIX_BLOCK = 100_000
-
-
 def _mixing_sql(steps: int = 5, ways: int = 64) -> str:
     """The bisection is unrolled: a pair of brackets (entropy, repetitions) for each step."""
     h = lambda parts: f"('0x' || substr(md5({parts}), 1, 15))::BIGINT"
     steps_sql = ""
-    for name, good, below in (("e", "h >= 0.95 * (SELECT ln(count(*)) FROM live)", True), ("r", "r <= 4.0", False)):
+    for name, good, below in (("e", f"h >= {MIX_ENTROPY} * (SELECT ln(count(*)) FROM live)", True), ("r", f"r <= {MIX_REPEATS}", False)):
         steps_sql += f", {name}0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"
         for k in range(steps):
             pick = f"coalesce(max(k) FILTER (WHERE {good}), 0)" if below else f"coalesce(min(k) FILTER (WHERE {good}), {ways})"
