@@ -23,6 +23,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +41,12 @@ _DIGIT = re.compile("[0-9]")
 _NUMBER = re.compile("[0-9]+")
 
 
+#: What a digit adds at the doubled places of the Luhn sum.
+_DOUBLED = {str(d): 2 * d // 10 + 2 * d % 10 for d in range(10)}
+
+
 def luhn(digits: str) -> bool:
-    values = [int(c) for c in reversed(digits)]
-    return (sum(values[::2]) + sum(sum(divmod(2 * x, 10)) for x in values[1::2])) % 10 == 0
+    return (sum(map(int, digits[::-2])) + sum(map(_DOUBLED.__getitem__, digits[-2::-2]))) % 10 == 0
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -102,12 +106,13 @@ def _swallowed(text: str, failed: list[Span]) -> Iterator[Span]:
             if total > 15 and end:
                 yield "phone", s, end
         elif kind == "card":
-            i = 0
+            i, digits = 0, _digits(text[s:e])
+            done = [0, *accumulate(b - a for a, b in runs)]  # digits before each run
             while i < len(runs):
                 total, best, j = 0, None, i
                 while j < len(runs) and total <= 19:
-                    total += runs[j][1] - runs[j][0]
-                    if 14 <= total <= 19 and luhn(_digits(text[runs[i][0] : runs[j][1]])):
+                    total = done[j + 1] - done[i]
+                    if 14 <= total <= 19 and luhn(digits[done[i] : done[j + 1]]):
                         best = j
                     j += 1
                 if best is not None and (i, best) != (0, len(runs) - 1):
@@ -142,10 +147,10 @@ GLYPHS = _glyphs()
 _GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SPELLED_THREE = re.compile(rf"(?<!\w)(?:{_WORD})(?:[ \t,.-]+(?:{_WORD}|[0-9]+)){{2,}}(?!\w)", re.I)
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:\s*[\[({<]\s*dot\s*[\])}>]\s*[a-z]{2}|\s+dot\s+[a-z]{2}|\.(?-i:[a-z]{2})))", re.I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-_AT_HINT = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\sdot\s|\sat\s+[A-Za-z0-9-]+\.(?-i:[a-z]{2})", re.I)
-_PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
+_AT = re.compile(r"(?<!\s)\s*+[\[({<]\s*+(?:at|@)\s*+[\])}>]\s*+|(?<=[A-Za-z0-9_])\s++at\s++(?=[A-Za-z0-9-]++(?:\s*+[\[({<]\s*+dot\s*+[\])}>]\s*+[a-z]{2}|\s++dot\s++[a-z]{2}|\.(?-i:[a-z]{2})))", re.I)
+_DOT = re.compile(r"(?<!\s)\s*+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+|(?<=[A-Za-z0-9])\s++dot\s++(?=[A-Za-z0-9])", re.I)
+_AT_HINT = re.compile(r"[\[({<]\s*+(?:at|dot|@|\.)\s*+[\])}>]|\sdot\s|\sat\s++[A-Za-z0-9-]++\.(?-i:[a-z]{2})", re.I)
+_PLUS = re.compile(r"(?<!\w)plus\s++(?=[0-9])", re.I)
 
 
 class Mapped:
@@ -237,13 +242,19 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         more += [(kind, *normal.source(s, e)) for kind, s, e in found]
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base.sort(key=order)
-    taken = [(s, e) for _, s, e in base]
     added: list[Span] = []
+    done, first = 0, 0
+    open_: list[Span] = []  # base spans that may reach into what comes
     for kind, s, e in sorted(set(more), key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
-        if any(s < b and a < e for _, a, b in added):
+        if s < done:
             continue
-        if all(s <= a and b <= e and (s, e) != (a, b) for a, b in taken if s < b and a < e):
+        while first < len(base) and base[first][1] < e:
+            open_.append(base[first])
+            first += 1
+        open_ = [x for x in open_ if x[2] > s]
+        if all(s <= a and b <= e and (s, e) != (a, b) for _, a, b in open_ if a < e):
             added.append((kind, s, e))
+            done = e
     return base, added
 
 
@@ -276,9 +287,9 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
 
 def annotate(docs: DataFrame, text: str = "text", with_redacted: bool = False) -> DataFrame:
     """``docs`` plus counts of base spans by kind, their digest, all spans and ``n_added``;
-    ``redacted`` on demand.  Columns of those names already there are replaced.
+    ``redacted`` on demand.  Columns of the names made are replaced, all others pass through.
     """
-    docs = docs.drop(*(c for c in FOUND.names if c in docs.columns))
+    docs = docs.drop(*(c for c in FOUND.names[: 7 + with_redacted] if c in docs.columns))
     schema = T.StructType([*docs.schema.fields, *FOUND.fields[: 7 + with_redacted]])
     place = docs.columns.index(text)
 

@@ -173,6 +173,94 @@ def test_pii_long_digit_and_word_runs_are_linear():
     assert pii.find("1" * 200_000 + " " + "a" * 200_000 + "@") == ([], [])
 
 
+def test_pii_long_blanks_and_many_spans_are_linear():
+    import time
+
+    began = time.perf_counter()
+    base, added = pii.find("a [at] b [dot] com" + " " * 200_000 + "x dot y at " + " " * 200_000)
+    assert not base and len(added) == 1
+    many = " ".join(f"a{i} [at] b{i} [dot] com" for i in range(200_000))
+    base, added = pii.find(many)
+    assert not base and len(added) == 200_000 and len(pii.find("1 " * 100_000)[1]) == 0
+    assert time.perf_counter() - began < 60
+
+
+def plain_added(text, base, more):
+    """The rule of added spans, pair by pair."""
+    order = ["email", "ip", "card", "phone"]
+    added = []
+    for kind, s, e in sorted(set(more), key=lambda x: (x[1], -x[2], order.index(x[0]))):
+        if any(s < b and a < e for _, a, b in added):
+            continue
+        if all(s <= a and b <= e and (s, e) != (a, b) for _, a, b in base if s < b and a < e):
+            added.append((kind, s, e))
+    return added
+
+
+def plain_normal(text):
+    """Transducers one character at a time: (normal text, source span of every character)."""
+    chars = [(c, i, i + 1) for i, c in enumerate(text)]
+    if any(c in pii.GLYPHS for c in text):
+        chars = [(pii.GLYPHS.get(c, c), a, b) for c, a, b in chars if pii.GLYPHS.get(c, c)]
+    def edit(chars, edits):
+        out, at = [], 0
+        for s, e, new in edits:
+            out += chars[at:s]
+            if new:
+                out.append((new, chars[s][1], chars[e - 1][2]))
+            at = e
+        return out + chars[at:]
+    now = lambda: "".join(c for c, _, _ in chars)
+    word = pii._SPELLED_THREE.search(now())
+    hint = pii._AT_HINT.search(now())
+    if word:
+        chars = edit(chars, pii._spelled_edits(now()))
+    if hint:
+        chars = edit(chars, [(*m.span(), "@") for m in pii._AT.finditer(now())])
+        chars = edit(chars, [(*m.span(), ".") for m in pii._DOT.finditer(now())])
+    if word or hint:
+        chars = edit(chars, [(*m.span(), "+") for m in pii._PLUS.finditer(now())])
+    return now(), chars
+
+
+def plain_pii(text):
+    text = text or ""
+    base, failed = brute.op4_base(text), []
+    pii.detect(text, failed)
+    more = list(pii._swallowed(text, failed))
+    normal, chars = plain_normal(text)
+    if normal != text:
+        missed = []
+        found = brute.op4_base(normal)
+        pii.detect(normal, missed)
+        found += list(pii._swallowed(normal, missed))
+        more += [(k, chars[s][1], chars[e - 1][2]) for k, s, e in found]
+    return base, plain_added(text, base, more)
+
+
+def test_pii_query_equals_a_plain_version(spark, real):
+    """Counts, digest and all spans of the whole query, with transducers run character by character."""
+    from skylume.llm.queries import op4_pii
+
+    texts = dict(docs_of(real))
+    order = ["email", "ip", "card", "phone"]
+    join = lambda x: ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(x, key=lambda x: (x[1], order.index(x[0]))))
+    n_added = 0
+    for r in op4_pii(spark, SF).collect():
+        base, added = plain_pii(texts[r.doc_id])
+        n_added += len(added)
+        kinds = [k for k, _, _ in base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds.count(k) for k in order)
+        assert r.base_sha256 == brute.sha(join(base).encode()) and r.spans == join(base + added)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b@c.de", " at ", " dot ", "[at]", " ", "com", "one ", "two ", "+1 ", "456 789 0123", "\u043e", "\uff11", "4242 4242 4242 4242 ", "1.2.3.4", "plus "]), max_size=14))
+def test_pii_spans_equal_a_plain_version(parts):
+    text = "".join(parts)
+    assert tuple(map(sorted, pii.find(text))) == tuple(map(sorted, plain_pii(text)))
+
+
 # ------------------------------------------------------------------------ 5 simhash
 
 
