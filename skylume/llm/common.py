@@ -64,12 +64,11 @@ def packed(docs: DataFrame, *read: str) -> DataFrame:
     return docs.select(*(c for c in docs.columns if c in read), F.struct(*extra).alias(_EXTRA)) if extra else docs
 
 
-def unpacked(found: DataFrame, docs: DataFrame, *made: str) -> DataFrame:
-    """``found`` with the columns of ``docs`` in their order, then those ``made``, which replace
-    columns of their names that were there."""
+def unpacked(found: DataFrame, docs: DataFrame, read: tuple[str, ...], made: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``found``, which came of ``packed(docs, *read)``, with the columns of ``docs`` in their order,
+    then those ``made``, which replace columns of their names that were there."""
     own = [c for c in docs.columns if c not in made]
-    inside = set(docs.columns) - set(found.columns)
-    return found.select(*(F.col(_EXTRA)[c].alias(c) if c in inside else F.col(c) for c in own), *made)
+    return found.select(*(F.col(c) if c in read else F.col(_EXTRA)[c].alias(c) for c in own), *made)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:

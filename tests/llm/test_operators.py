@@ -138,6 +138,28 @@ def test_lines_case_ends_and_threshold(spark):
     assert out[0].text == "own 0\n" and (out[0].line_n, out[0].line_dropped) == (4, 2) and out[9].text == "shared\tline!"
 
 
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_KEYS, 0])
+def test_lines_of_awkward_rows_and_real_texts(spark, awkward, real, monkeypatch, limit):
+    """Either way gives what a plain version gives; columns of any name keep their values."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", limit)
+    for df, least in ((awkward.withColumns({"__n": F.lit("n"), "__a": F.lit("a"), "__extra": F.lit("e")}), 3), (real, 10)):
+        got = line_dedup.drop_common_lines(df, least)
+        assert got.columns == [*df.columns, "line_n", "line_dropped"]
+        rows = df.collect()
+        key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(brute.LOWER)
+        seen = {}
+        for r in rows:
+            for k in {key(x) for x in (r.text or "").split("\n")}:
+                seen[k] = seen.get(k, 0) + 1
+        want = []
+        for r in rows:
+            lines = (r.text or "").split("\n")
+            kept = [x for x in lines if not key(x) or seen[key(x)] < least]
+            gone = len(lines) - len(kept)
+            want.append((*[("\n".join(kept) if gone else r.text) if c == "text" else r[c] for c in df.columns], len(lines), gone))
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
 # -------------------------------------------------------------------------- 4 pii
 
 
