@@ -4,8 +4,8 @@ Method: the normalised n-grams (windows of ``window`` words) of the benchmark ar
 a hash set sent to every executor; each text's token windows are scanned against
 it, hits are verified word by word, and spans or documents are removed.
 
-The set is broadcast only while the benchmark holds at most ``BROADCAST_BYTES``
-of text; beyond that the windows of both sides meet in a shuffle join on
+The set is sorted arrays of hashes with the items' words beside them.  It is broadcast only
+while the benchmark holds at most ``BROADCAST_BYTES`` of text; beyond that the windows of both sides meet in a shuffle join on
 (size, hash, words), which gives the same result.
 
 Defined cases: null or empty texts have no words; an item of fewer words than a
@@ -27,60 +27,91 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-BROADCAST_BYTES = 64 << 20
+#: Benchmark text broadcast at most; with its windows as arrays it takes about five times that.
+BROADCAST_BYTES = 32 << 20
 #: Bits of the table that turns most windows away before the binary search.
 _SIEVE_BITS = 22
+#: Verified windows a task remembers.
+_KNOWN = 1 << 16
 
 
-def item_windows(rows: list[tuple[int, str]], window: int) -> dict[tuple[int, bytes], set[int]]:
-    """{(size, words joined by blanks): item ids}."""
-    out: dict[tuple[int, bytes], set[int]] = {}
-    for item, text in rows:
-        if item is None or not text:
-            continue
-        w = C.Words([C.lower_ascii(text.encode())], C.NOT_ALNUM)
-        words = [w.buffer[s:e] for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if words else 0):
-            out.setdefault((size, b" ".join(words[i : i + size])), set()).add(item)
-    return out
+class Windows:
+    """The benchmark's windows as arrays: about 20 bytes each beside the words themselves.
+
+    ``words[size]`` holds, for windows of that size, the normalised words of their items, joined
+    by blanks; a window is the bytes from ``start`` to ``end``.  Windows are sorted by hash.
+    """
+
+    def __init__(self, rows: list[tuple], window: int):
+        parts: dict[int, list[tuple]] = {}
+        self.ids: list = []
+        for item, text in rows:
+            if item is None or not text:
+                continue
+            w = C.Words([C.lower_ascii(text.encode())], C.NOT_ALNUM)
+            if not len(w.start):
+                continue
+            size = min(window, len(w.start))
+            joined = b" ".join([w.buffer[s:e] for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)])
+            ends = np.cumsum(w.end - w.start + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            h = C.window_hashes(C.word_hashes(w), size)
+            parts.setdefault(size, []).append((joined, h, starts[: len(h)], ends[size - 1 :], len(self.ids)))
+            self.ids.append(item)
+        self.sizes, self.words = {}, {}
+        for size, found in parts.items():
+            self.words[size] = b" ".join([x[0] for x in found])
+            length = np.array([len(x[0]) + 1 for x in found])
+            base = np.cumsum(length) - length
+            h = np.concatenate([x[1] for x in found])
+            order = np.argsort(h, kind="stable")
+            start = np.concatenate([x[2] + k for x, k in zip(found, base, strict=True)])[order]
+            span = np.concatenate([x[3] - x[2] for x in found])[order].astype(np.int32)
+            item = np.concatenate([np.full(len(x[1]), x[4], dtype=np.int32) for x in found])[order]
+            self.sizes[size] = (h[order], start, span, item)
+
+    def items(self, size: int, h: np.uint64, words: bytes) -> set:
+        """Ids of the items that have this window, compared byte by byte."""
+        hashes, start, span, item = self.sizes[size]
+        out, text, k = set(), self.words[size], int(np.searchsorted(hashes, h))
+        while k < len(hashes) and hashes[k] == h:
+            if span[k] == len(words) and text[start[k] : start[k] + span[k]] == words:
+                out.add(self.ids[item[k]])
+            k += 1
+        return out
 
 
 class _Sets:
-    """Sorted window hashes by size, with the words and items behind each."""
-
-    def __init__(self, windows: dict[tuple[int, bytes], set[int]]):
-        by_size: dict[int, list[bytes]] = {}
-        for size, words in windows:
-            by_size.setdefault(size, []).append(words)
-        self.windows = windows
-        self.sizes = {}
-        for size, texts in by_size.items():
-            h = []
-            for lo in range(0, len(texts), 4096):
-                w = C.Words(texts[lo : lo + 4096], C.NOT_ALNUM)
-                h.append(C.window_hashes(C.word_hashes(w), size)[w.first[:-1]])
-            hashes = np.unique(np.concatenate(h))
+    """The windows by size, with a sieve that turns most of a document's away before the search."""
+
+    def __init__(self, windows: Windows):
+        self.windows, self.sieves, self.known = windows, {}, {}
+        for size, (hashes, *_) in windows.sizes.items():
             sieve = np.zeros(1 << _SIEVE_BITS, dtype=bool)
             sieve[(hashes >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
-            self.sizes[size] = (hashes, sieve)
+            self.sieves[size] = sieve
 
     def hits(self, w: C.Words):
         """(window size, first words of verified windows, items of each)."""
         h = C.word_hashes(w)
         owner = w.owner()
-        for size, (hashes, sieve) in self.sizes.items():
+        for size, sieve in self.sieves.items():
+            hashes = self.windows.sizes[size][0]
             g = C.window_hashes(h, size)
             at = np.flatnonzero(sieve[(g >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
             if not len(at):
                 continue
             at = at[owner[at] == owner[at + size - 1]]
-            g = g[at]
-            k = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
-            at = at[hashes[k] == g]
+            k = np.minimum(np.searchsorted(hashes, g[at]), len(hashes) - 1)
+            at = at[hashes[k] == g[at]]
             sure, items = [], []
             for i, starts, ends in zip(at.tolist(), (w.start[at[:, None] + np.arange(size)]).tolist(), (w.end[at[:, None] + np.arange(size)]).tolist(), strict=True):
-                found = self.windows.get((size, b" ".join([w.buffer[s:e] for s, e in zip(starts, ends, strict=True)])))
+                words = b" ".join([w.buffer[s:e] for s, e in zip(starts, ends, strict=True)])
+                found = self.known.get((size, words))
+                if found is None:
+                    if len(self.known) >= _KNOWN:
+                        self.known.clear()
+                    found = self.known[size, words] = self.windows.items(size, g[i], words)
                 if found:
                     sure.append(i)
                     items.append(found)
@@ -135,15 +166,16 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> str:
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` plus n_words, n_hit, n_items, items_sha256; with ``keep_text`` also
-    kept_text, the text without its hit spans.  Such columns already there are replaced.
+    kept_text, the text without its hit spans.  Columns of the names made are replaced, all others,
+    of whatever names, pass through.
     """
-    docs = docs.drop(*(c for c in VERDICT.names if c in docs.columns))
+    docs = docs.drop(*(c for c in VERDICT.names[: 4 + keep_text] if c in docs.columns))
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if size > BROADCAST_BYTES:
         return _annotate_by_join(docs, items, window, text, keep_text)
     sc = docs.sparkSession.sparkContext
-    windows = sc.broadcast(item_windows([(r.i, r.t) for r in items.collect()], window))
+    windows = sc.broadcast(Windows([(r.i, r.t) for r in items.collect()], window))
     out = T.StructType([*docs.schema.fields, *VERDICT.fields[: 4 + keep_text]])
     place = docs.columns.index(text)
 
@@ -170,8 +202,11 @@ def _annotate_by_join(docs: DataFrame, items: DataFrame, window: int, text: str,
     grams = lambda words, size: F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
     w = items.filter("i is not null and t is not null").select("i", split(F.col("t")).alias("w")).filter(F.size("w") > 0).withColumn("m", F.least(F.size("w"), F.lit(window)))
     wanted = w.select("i", "m", F.explode(F.array_distinct(grams(F.col("w"), F.col("m")))).alias("g"))
-    sizes = F.sequence(F.lit(1), F.lit(window))
-    texts = docs.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("__key"), F.col(text).alias("t")).dropDuplicates(["__key"])
+    wanted = C.settle(wanted)
+    present = sorted(r["m"] for r in wanted.select("m").distinct().collect())  # at most ``window`` numbers
+    sizes = F.array(*[F.lit(m) for m in present]) if present else F.array().cast("array<int>")
+    slim = C.packed(docs, text)
+    texts = slim.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("__key"), F.col(text).alias("t")).dropDuplicates(["__key"])
     seen = (
         texts.select("__key", split(F.col("t")).alias("w"))
         .select("__key", "w", F.explode(sizes).alias("m"))
@@ -182,9 +217,10 @@ def _annotate_by_join(docs: DataFrame, items: DataFrame, window: int, text: str,
     found = hit.groupBy("__key").agg(F.collect_set(F.struct("p", "m")).alias("at"), F.collect_set("i").alias("ids"))
     ids = F.array_sort(F.transform("ids", lambda i: i.cast("string")))
     found = found.select("__key", F.col("at").alias("__at"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
-    place = [*docs.columns].index(text)
-    joined = docs.withColumn("__key", F.sha2(text, 256)).join(found, "__key", "left").drop("__key")
-    joined = joined.select(*docs.columns, "n_items", "items_sha256", "__at")
+    place = docs.columns.index(text)
+    joined = slim.withColumn("__key", F.sha2(text, 256)).join(found, "__key", "left")
+    # Made columns come last; one of the same name in ``docs`` was dropped before.
+    joined = C.unpacked(joined, docs, (text,), ("n_items", "items_sha256", "__at"))
     out = T.StructType([*docs.schema.fields, *VERDICT.fields[: 4 + keep_text]])
     k = len(docs.columns)
 
@@ -213,10 +249,10 @@ C_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """``docs`` with benchmark passages cut out of ``text``."""
-    found = annotate(docs, benchmark, window, text, keep_text=True)
-    return found.withColumn(text, F.col("kept_text")).drop(*VERDICT.names)
+    found = annotate(C.packed(docs, text), benchmark, window, text, keep_text=True)
+    return C.unpacked(found.withColumn(text, F.col("kept_text")), docs, (text,))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold any benchmark window."""
-    return annotate(docs, benchmark, window, text).filter("n_hit = 0").drop(*VERDICT.names)
+    return C.unpacked(annotate(C.packed(docs, text), benchmark, window, text).filter("n_hit = 0"), docs, (text,))
