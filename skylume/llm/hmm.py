@@ -6,16 +6,20 @@ likelihood is the scaled forward recursion over its whole token sequence.  The r
 runs over pieces of ``PIECE`` tokens at once as products of state matrices, which are then
 chained from piece to piece, so that it is exact for texts of any length.
 
-Vocabulary: every distinct training word is counted.  Words at or above a count threshold
-that leaves at most ``symbols`` of them (2^20 by default, so all words of most corpora) are
-symbols of their own, with emissions of their own; all others emit one of 256
+Vocabulary: every distinct training word is counted.  Words found ``min_count`` times or more
+are symbols of their own, with emissions of their own in each state, so their number grows with
+the corpus, up to ``symbols`` of the most frequent (a bound of memory: 8 bytes a state and word on
+the driver and in each task).  All others are too rare to say anything of states and emit one of 256
 classes (by their last bytes), and a word's share of its class follows its count, with one
 place for unknown words, so the probabilities of all words sum to one.  Counts of at most
 ``HEAD`` frequent words are broadcast (16 bytes each, a fixed bound); the rest of the tokens
 look theirs up in a shuffle join, so no vocabulary size is assumed.  Words meet by a 64-bit
 hash.
 
-Defined cases: null or empty texts have one token, the end; a null id is neither held out
+Expected counts travel as one row for each word that a task has seen, with a number for each state.
+
+Defined cases: null or empty texts have one token, the end; ids are of any type and pass through;
+columns beside id and text are not read and do not come out; texts of any length are read whole; a null id is neither held out
 nor learnt from; with no training text N and V are 0; repeated rows count and score one by
 one; an empty table stays empty.
 """
@@ -34,6 +38,8 @@ from . import common as C
 
 #: Frequent words whose counts are broadcast at most.
 HEAD = 1 << 20
+#: Words found less often have no emissions of their own.
+MIN_COUNT = 16
 #: Tokens of a piece of the recursion; classes of rare words.
 PIECE, CLASSES = 64, 256
 #: Distinct words a task gathers before it hands on their counts.
@@ -122,9 +128,9 @@ class Vocabulary:
         return self.n_symbols + CLASSES
 
 
-def vocabulary(counts: DataFrame, ends: int, symbols: int, head: int = HEAD) -> Vocabulary:
+def vocabulary(counts: DataFrame, ends: int, symbols: int, head: int = HEAD, min_count: int = MIN_COUNT) -> Vocabulary:
     """``counts`` must be settled: it is read several times."""
-    t_symbol, t_head = _threshold(counts, symbols), _threshold(counts, head)
+    t_symbol, t_head = max(min_count, _threshold(counts, symbols)), _threshold(counts, head)
     table = counts.filter(F.col("n") >= min(t_head, t_symbol)).select("h", "n", "c").toArrow()
     h = table.column(0).to_numpy().view(np.uint64)
     order = np.argsort(h)
@@ -141,7 +147,7 @@ def vocabulary(counts: DataFrame, ends: int, symbols: int, head: int = HEAD) ->
 
 # ----------------------------------------------------------------------------- encoding
 
-ENCODED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, seq binary, tail array<struct<h:long,c:int>>"
+ENCODED = "rid long, doc_id {id}, held_out boolean, n_tokens long, known long, base double, inner double, seq binary, tail array<struct<h:long,c:int>>"
 
 
 def encode(docs: DataFrame, vocab, text: str = "text") -> DataFrame:
@@ -157,7 +163,8 @@ def encode(docs: DataFrame, vocab, text: str = "text") -> DataFrame:
             for lo, texts in C.text_slices(batch.column(3)):
                 yield _encode(batch.slice(lo, len(texts)), texts, v)
 
-    return docs.select("rid", F.col("doc_id").cast("long"), "held_out", text).mapInArrow(run, ENCODED)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("rid", "doc_id", "held_out", text).mapInArrow(run, ENCODED.format(id=id_type))
 
 
 def _encode(rows: pa.RecordBatch, texts: list[bytes], v: Vocabulary) -> pa.RecordBatch:
@@ -354,7 +361,7 @@ def initial(unigram: np.ndarray, states: int) -> Hmm:
 
 def train(encoded: DataFrame, unigram: np.ndarray, states: int = 6, rounds: int = 4, prior: float = 50.0) -> Hmm:
     """Baum-Welch over all rows of ``encoded`` (column ``seq``)."""
-    model = initial(unigram, states)
+    model, names = initial(unigram, states), [f"n{i}" for i in range(states)]
     sc = encoded.sparkSession.sparkContext
     for _ in range(rounds):
         shared = sc.broadcast(model)
@@ -371,15 +378,18 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = 6, rounds: int
                     total[1][:] += move
                     total[2][:, used] += emit
             if total is not None:
-                all_counts = np.column_stack([total[0][:, None], total[1], total[2]])
-                for i, row in enumerate(all_counts):
-                    some = np.flatnonzero(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, dtype=np.int32)), pa.array(some), pa.array(row[some])], names=["state", "k", "n"])
-
-        rows = encoded.select("seq").mapInArrow(count, "state int, k long, n double").groupBy("state", "k").agg(F.sum("n").alias("n")).toArrow()
+                some = np.flatnonzero(total[2].any(axis=0))
+                # Starts stand under -1, the moves into state j under -2 - j.
+                key = np.concatenate([some, -1 - np.arange(states + 1)])
+                n = np.concatenate([total[2][:, some], total[0][:, None], total[1]], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(row, pa.float32()) for row in n)], names=["k", *names])
+
+        sums = [F.sum(F.col(c).cast("double")).alias(c) for c in names]
+        rows = encoded.select("seq").mapInArrow(count, "k long, " + ", ".join(f"{c} float" for c in names)).groupBy("k").agg(*sums).toArrow()
         total = np.zeros((states, 1 + states + len(unigram)))
         if rows.num_rows:
-            total[rows.column(0).to_numpy(), rows.column(1).to_numpy()] = rows.column(2).to_numpy()
+            k = rows.column(0).to_numpy()
+            total[:, np.where(k >= 0, 1 + states + k, -1 - k)] = np.stack([rows.column(1 + i).to_numpy() for i in range(states)])
         shared.unpersist()
         start, move, emit = total[:, 0] + 1, total[:, 1 : 1 + states] + 1, total[:, 1 + states :]
         model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), (emit + prior * unigram) / (emit.sum(axis=1, keepdims=True) + prior))
@@ -400,15 +410,15 @@ def score(encoded: DataFrame, model: Hmm) -> DataFrame:
             out = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(out)], names=[*names, "forward"])
 
-    kinds = ["long", "long", "boolean", "long", "long", "double", "double", "double"]
+    kinds = ["long", encoded.schema["doc_id"].dataType.simpleString(), "boolean", "long", "long", "double", "double", "double"]
     return encoded.select(*names, "seq").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip([*names, "forward"], kinds, strict=True)))
 
 
-def score_texts(docs: DataFrame, train_when: Column, held_out: Column, doc_id: str = "doc_id", text: str = "text", states: int = 6, rounds: int = 4, symbols: int = HEAD, head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, train_when: Column, held_out: Column, doc_id: str = "doc_id", text: str = "text", states: int = 6, rounds: int = 4, symbols: int = HEAD, head: int = HEAD, min_count: int = MIN_COUNT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     learnt = docs.filter(train_when)
     counts = C.settle(word_counts(learnt.select(F.col(text).alias("text"))))
-    vocab = vocabulary(counts, learnt.count(), symbols, head)
+    vocab = vocabulary(counts, learnt.count(), symbols, head, min_count)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(vocab)
     slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.coalesce(train_when, F.lit(False)).alias("learn"), F.col(text).alias("text"))

@@ -473,6 +473,49 @@ def test_hmm_base_scores(spark, real, head):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+@pytest.mark.parametrize("min_count", [1, 16])
+def test_hmm_query_equals_a_plain_version(spark, real, min_count):
+    """Scores of all documents: vocabulary, Baum-Welch and forward recursion, token by token."""
+    from collections import Counter
+
+    docs = docs_of(real.filter("doc_id < 60"))
+    tokens = [[w.encode() for w in brute.WORD.findall((t or "").translate(brute.LOWER))] for _, t in docs]
+    learnt = [x for (d, _), x in zip(docs, tokens, strict=True) if brute.held(d) != 1]
+    c = Counter(w for x in learnt for w in x)
+    cls = lambda w: (w[-1] * 31 + w[max(0, len(w) - 2)] * 17) % hmm.CLASSES
+    hashes = {w: int(C.word_hashes(C.Words([w], C.SPACE))[0]) for x in tokens for w in x}
+    own = sorted((w for w, n in c.items() if n >= min_count), key=hashes.get)
+    place = {w: i for i, w in enumerate(own)}
+    rare_n, rare_v = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    for w, n in c.items():
+        if w not in place:
+            rare_n[cls(w)] += n
+            rare_v[cls(w)] += 1
+    unigram = np.concatenate(([c[w] for w in own], rare_n, [len(learnt)])) + 0.5
+    unigram /= unigram.sum()
+    seq = [np.array([place.get(w, len(own) + cls(w)) for w in x] + [len(own) + hmm.CLASSES]) for x in tokens]
+    m = hmm.initial(unigram, 3)
+    for _ in range(2):
+        start, move, emit = np.ones(3), np.ones((3, 3)), np.zeros((3, len(unigram)))
+        for (d, _), o in zip(docs, seq, strict=True):
+            if brute.held(d) != 1:
+                _, s, mv, e = plain_hmm(m, o)
+                start, move, emit = start + s, move + mv, emit + e
+        m = hmm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), (emit + 50 * unigram) / (emit.sum(axis=1, keepdims=True) + 50))
+    want = {}
+    for (d, _), x, o in zip(docs, tokens, seq, strict=True):
+        inner = sum(np.log10((c[w] + 0.5) / (rare_n[cls(w)] + 0.5 * (rare_v[cls(w)] + 1))) for w in x if w not in place)
+        want[d] = plain_hmm(m, o)[0] / np.log(10) + inner
+    got = hmm.score_texts(real.filter("doc_id < 60"), langid.fold() != 1, langid.fold() == 1, states=3, rounds=2, min_count=min_count, head=40).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-5)
+
+
+def test_hmm_takes_ids_of_any_type(spark, real):
+    some = real.filter("doc_id < 20").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = hmm.score_texts(some, F.lit(True), F.lit(False), rounds=1).collect()
+    assert {r.doc_id for r in got} == {f"d{i}" for i in range(20)}
+
+
 # ----------------------------------------------------------------------- 10 langid
 
 
@@ -507,7 +550,7 @@ def test_every_word_has_emissions_of_its_own(spark):
     kinds = [[f"k{j}w{i}x" for i in range(3000)] for j in range(2)]
     texts = [(k, " ".join(kinds[k % 2][i] for i in rng.permutation(3000))) for k in range(8)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    run = lambda **kw: sum(r.score for r in hmm.score_texts(df, F.lit(True), F.lit(False), states=2, rounds=4, **kw).collect())
+    run = lambda **kw: sum(r.score for r in hmm.score_texts(df, F.lit(True), F.lit(False), states=2, rounds=4, min_count=1, **kw).collect())
     assert run() > run(symbols=4096) + 1000
 
 
