@@ -39,7 +39,7 @@ from . import common as C
 #: Frequent words whose counts are broadcast at most.
 HEAD = 1 << 20
 #: Words found less often have no emissions of their own.
-MIN_COUNT = 16
+MIN_COUNT = 64
 #: Tokens of a piece of the recursion; classes of rare words.
 PIECE, CLASSES = 64, 256
 #: Distinct words a task gathers before it hands on their counts.
