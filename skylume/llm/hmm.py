@@ -42,6 +42,8 @@ HEAD = 1 << 20
 MIN_COUNT = 64
 #: Tokens of a piece of the recursion; classes of rare words.
 PIECE, CLASSES = 64, 256
+#: Tasks a core of a round of training at most.
+TASKS_A_CORE = 2
 #: Distinct words a task gathers before it hands on their counts.
 GATHER = 1 << 21
 
@@ -360,9 +362,14 @@ def initial(unigram: np.ndarray, states: int) -> Hmm:
 
 
 def train(encoded: DataFrame, unigram: np.ndarray, states: int = 6, rounds: int = 4, prior: float = 50.0) -> Hmm:
-    """Baum-Welch over all rows of ``encoded`` (column ``seq``)."""
+    """Baum-Welch over all rows of ``encoded`` (column ``seq``).
+
+    A round runs in at most ``TASKS_A_CORE`` tasks a core, so that a word's counts are added up
+    within tasks as far as can be: what is shuffled follows cores and words, not input splits.
+    """
     model, names = initial(unigram, states), [f"n{i}" for i in range(states)]
     sc = encoded.sparkSession.sparkContext
+    dealt = encoded.select("seq").coalesce(TASKS_A_CORE * sc.defaultParallelism)
     for _ in range(rounds):
         shared = sc.broadcast(model)
 
@@ -385,7 +392,7 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = 6, rounds: int
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(row, pa.float32()) for row in n)], names=["k", *names])
 
         sums = [F.sum(F.col(c).cast("double")).alias(c) for c in names]
-        rows = encoded.select("seq").mapInArrow(count, "k long, " + ", ".join(f"{c} float" for c in names)).groupBy("k").agg(*sums).toArrow()
+        rows = dealt.mapInArrow(count, "k long, " + ", ".join(f"{c} float" for c in names)).groupBy("k").agg(*sums).toArrow()
         total = np.zeros((states, 1 + states + len(unigram)))
         if rows.num_rows:
             k = rows.column(0).to_numpy()
