@@ -32,7 +32,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (a, b); root is the least node reachable.
 
-    Nodes without links do not appear.  Loops, repeats and either direction are fine.
+    The result reads files that stay in the shared folder.  Nodes without links do not appear.  Loops, repeats and either direction are fine.
     """
     links = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = links.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()

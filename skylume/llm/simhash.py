@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
-from .common import settle
+from .common import release, settle
 from .components import components
 
 #: Fingerprints of one masked pattern that a group holds at most (two chunks a group).
@@ -361,40 +361,59 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct()
 
 
+def _limit(similarity: float, bits: int, deviations: float) -> int:
+    """Differing bits of texts exactly at ``similarity``: mean and so many standard deviations."""
+    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.ceil(bits * angle + deviations * np.sqrt(bits * angle * (1 - angle))))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5, blocks: int = 7, words: int = 8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the least id.
 
     Two texts link when the overlap of their shingle sets is ``similarity`` or more, which is
     verified on the texts.  Candidates share a masked pattern of one of ``words`` independent
-    fingerprints (each dealt by itself) and differ in little more bits of it and of the next than
-    such texts do on average; of texts exactly at 0.8, 0.995 are expected to share a pattern.
-    First a forest of candidates is verified; where a link of it fails, all candidate pairs
-    between what has been joined are verified too, so every candidate counts.
-    Rows that repeat an id are all kept or all dropped; null ids are never dropped.
+    fingerprints (each dealt by itself) and lie within the bits that such texts differ in: one and
+    a half standard deviations over the mean for the two words at hand, three for all of them.
+    First a forest of candidates is verified.  Candidates that it joined through a link that
+    failed may still link, and only those whose texts lie on either side of such a link: among
+    the texts of those groups every candidate pair that is not joined yet is verified too.
+    Rows that repeat an id are all kept or all dropped; null ids are never dropped; null and empty
+    texts are copies of each other; texts of any length are read whole; columns of any name stay.
     """
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    total, reach = round(128 * angle) + 9, round(64 * angle) + 6  # two standard deviations above the mean
+    reach, total, most = _limit(similarity, 64, 1.5), _limit(similarity, 128, 1.5), _limit(similarity, 64 * words, 3)
     texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
     names = [f"fp{k}" for k in range(words)]
     prints = settle(fingerprints(texts, shingle, words=words, digest_sets=True).select(F.col("node").alias("doc_id"), *names, "digest"))
     distinct = settle(prints.groupBy("digest", *names).agg(F.min("doc_id").alias("node")))
     least = distinct.groupBy("digest").agg(F.min("node").alias("least"))
-    copies = prints.select("doc_id", "digest").join(least, "digest").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    pair = F.array(*[F.struct(F.col(names[k]).alias("fp0"), F.col(names[(k + 1) % words]).alias("fp1")) for k in range(words)])
-    dealt = distinct.select("node", F.posexplode(pair).alias("w", "s")).select("node", "w", "s.fp0", "s.fp1")
-
-    def candidates(dealt: DataFrame) -> DataFrame:
-        found = links(dealt, distance, blocks, reach, total, direct=True).filter("a <> b")
+    copies = settle(prints.select("doc_id", "digest").join(least, "digest").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    release(prints)
+
+    def candidates(prints: DataFrame, n: int, limit: int) -> DataFrame:
+        """Pairs of ``prints`` dealt by each word, with ``n`` words (from it on) to hold against the limit."""
+        turned = [F.struct(*[F.col(names[(k + j) % words]).alias(f"fp{j}") for j in range(n)]) for k in range(words)]
+        own = [c for c in prints.columns if c in ("node", "root")]
+        dealt = prints.select(*own, F.posexplode(F.array(*turned)).alias("w", "s")).select(*own, "w", *[f"s.fp{j}" for j in range(n)])
+        found = links(dealt, distance, blocks, reach, limit, direct=True).filter("a <> b")
         return settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    loose = candidates(dealt)
-    tight = settle(similar(loose, texts, shingle, similarity))
-    of = settle(components(loose))
-    failed = loose.join(tight, ["a", "b"], "left_anti").join(of, F.col("a") == F.col("node")).select("root").distinct()
-    open_ = of.join(failed, "root", "left_semi").select("node")
-    joined = components(tight)
-    open_ = settle(open_.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    more = candidates(dealt.join(open_, "node")).join(loose, ["a", "b"], "left_anti")
-    tree = components(tight.union(similar(settle(more), texts, shingle, similarity)).union(copies))
+    loose = candidates(distinct, 2, total)
+    side = lambda c, fp: distinct.select(F.col("node").alias(c), F.array(*names).alias(fp))
+    far = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(words)), F.lit(0))
+    near = settle(loose.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(far <= most).select("a", "b"))
+    tight = settle(similar(near, texts, shingle, similarity))
+    release(near)
+    joined = settle(components(tight))
+    root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    failed = loose.join(tight, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    failed = failed.select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
+    open_ = settle(failed.select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
+    rooted = distinct.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = candidates(rooted.join(open_, "root", "left_semi"), words, most)
+    late = settle(similar(more.join(loose, ["a", "b"], "left_anti"), texts, shingle, similarity))
+    release(loose, more, open_, distinct)
+    tree = components(joined.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(late).union(copies))
+    release(joined, tight, late, copies)
     gone = tree.filter("node <> root").select(F.col("node").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    slim = C.packed(docs, doc_id, text)
+    return C.unpacked(slim.join(gone, slim[doc_id] == gone["__gone"], "left_anti"), docs, (doc_id, text))
