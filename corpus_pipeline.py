@@ -61,7 +61,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the mixture takes, with their number of copies and their permuted order.
 
-    Columns of those names that were there are replaced.
+    Columns of those names that were there are replaced, all others stay.
     """
     return mixing.mix(docs).filter("copies > 0")
 

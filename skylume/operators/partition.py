@@ -152,20 +152,18 @@ def chunks(items: list[int], size: int) -> list[list[int]]:
 
 
 def balance(clusters: list[list[int]], parts: int) -> list[list[int]]:
-    """Cut large clusters, gather small ones in order, then meet the number of parts."""
+    """Cut large clusters, gather small ones in order behind the others, then meet the number of parts."""
     target, least, most = _sizes(sum(map(len, clusters)), parts)
     cut = [c for g in clusters for c in (chunks(g, max(1, target)) if len(g) > most else [list(g)])]
-    out, small = [], []
+    # Clusters of a fair size come first, those gathered from small ones after them.
+    out, gathered, small = [g for g in cut if len(g) >= least], [], []
     for g in cut:
-        if len(g) >= least:
-            out.append(g)
-            continue
-        small = small + g
-        if len(small) >= least:
-            out.append(small)
-            small = []
-    if small:
-        out.append(small)
+        if len(g) < least:
+            small = small + g
+            if len(small) >= least:
+                gathered.append(small)
+                small = []
+    out += gathered + ([small] if small else [])
     while len(out) > parts:
         out.sort(key=len)
         out = [out[0] + out[1], *out[2:]]
@@ -215,10 +213,10 @@ def as_table(spark: SparkSession, groups: list[list[int]]) -> DataFrame:
 
 def partition(sets: DataFrame, vts: DataFrame, parts: int, method: str = "exact", num_perm: int = 256, threshold: float = 0.7) -> DataFrame:
     """(cluster, pos, node): test nodes in ``parts`` groups of similar size and overlap."""
-    ids = sorted(r["vt"] for r in vts.select("vt").distinct().limit(MAX_NODES + 1).collect())
-    if len(ids) > MAX_NODES:
-        raise ValueError(f"a partitioning call takes {MAX_NODES} test nodes")
     if method == "exact":
+        ids = sorted(r["vt"] for r in vts.select("vt").distinct().limit(MAX_NODES + 1).collect())
+        if len(ids) > MAX_NODES:
+            raise ValueError(f"average-link clustering takes {MAX_NODES} nodes: use method='lsh'")
         pairs = [(r["i"], r["j"], r["jaccard"]) for r in pair_jaccard(sets).collect()]
         return as_table(vts.sparkSession, balance(exact_clusters(ids, pairs, parts), parts))
     if method == "lsh":

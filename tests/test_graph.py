@@ -296,3 +296,12 @@ def test_groups_grow_over_the_whole_graph(spark):
     seeds = [got[0][0], got[1][0]]
     assert list(got.values()) == selection.grow(seeds, near, set(near), 15) and min(got[1]) >= 100
     assert got[1][0] >= 100 and max(got[1]) - min(got[1]) == 14
+
+
+def test_gathered_clusters_come_after_the_others():
+    from skylume.operators.partition import balance
+
+    ids = iter(range(19))
+    six, three, ten = ([next(ids) for _ in range(n)] for n in (6, 3, 10))
+    # Target 9, least 8, most 10: the small ones gather to 9 behind the cluster of ten.
+    assert balance([six, three, ten], 2) == [ten, six + three]
