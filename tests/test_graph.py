@@ -303,5 +303,6 @@ def test_gathered_clusters_come_after_the_others():
 
     ids = iter(range(19))
     six, three, ten = ([next(ids) for _ in range(n)] for n in (6, 3, 10))
-    # Target 9, least 8, most 10: the small ones gather to 9 behind the cluster of ten.
-    assert balance([six, three, ten], 2) == [ten, six + three]
+    # Target 9, least 8, most 9: ten is cut in nine and one, the small ones gather behind the nine,
+    # and the one left over joins the first of the two that are equally large.
+    assert balance([six, three, ten], 2) == [ten[9:] + ten[:9], six + three]
