@@ -275,7 +275,9 @@ def context_verdicts(texts: DataFrame, grams: DataFrame, bits, size: int, gram:
 
     dealt = texts.mapInArrow(rows, "g long, c long, times long, before long, windows long, body binary")
     dealt = dealt.join(grams.filter("mixed").select("g"), "g", "left_semi")
-    dealt = dealt.repartition("g").sortWithinPartitions("g", "c")
+    # A repartition by "g" itself would be taken as done by the join, which may at run time become a
+    # broadcast that leaves rows where they were read or cut a large partition: grams would be torn.
+    dealt = dealt.repartition(F.xxhash64("g")).sortWithinPartitions("g", "c")
     return dealt.mapInArrow(judge, "g long, c long, s long, e long")
 
 

@@ -105,6 +105,15 @@ def test_repeats_of_real_texts(spark, real):
     assert sorted(map(tuple, op1_suffix_dedup(spark, SF).collect())) == sorted(brute.op1(docs_of(real), 400))
 
 
+def test_contexts_of_a_gram_meet_in_one_task(spark, real):
+    """The shuffle by gram is one of its own, which no choice of join at run time takes away."""
+    texts = real.select("text").filter("octet_length(text) >= 400")
+    grams = suffix_dedup.gram_table(texts, 400, 200)
+    bits = spark.sparkContext.broadcast(suffix_dedup._filter_of(grams.filter("mixed").select("g")))
+    verdicts = suffix_dedup.context_verdicts(texts, grams, bits, 400, 200, 8)
+    assert "REPARTITION_BY_COL" in verdicts._jdf.queryExecution().executedPlan().toString()
+
+
 # ----------------------------------------------------------------------- 2 mixing
 
 
