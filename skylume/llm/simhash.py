@@ -39,6 +39,8 @@ from .components import components
 CHUNK = 4096
 #: Hot patterns broadcast at most.
 BROADCAST_PATTERNS = 200_000
+#: Texts and bytes of shingles in a chunk of a group whose pairs are verified (two chunks a task).
+GROUP, GROUP_BYTES = 1024, 16 << 20
 #: Children of a tree node.
 FANOUT = 16
 #: Candidate places held at once.
@@ -196,9 +198,8 @@ def link_groups(prints: np.ndarray, starts: np.ndarray, distance: int, total: in
     return child, forest.label[child]
 
 
-def direct_links(prints: np.ndarray, starts: np.ndarray, distance: int, total: int, node: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that link themselves: a forest that joins all pairs of ``link_groups`` or, with
-    ``root``, every pair of different roots.
+def direct_links(prints: np.ndarray, starts: np.ndarray, distance: int, total: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that link themselves: a forest that joins all pairs of ``link_groups``.
 
     The forest takes pairs of up to two thirds of ``total`` first, then by a hash of the two ids,
     so that groups of much the same members choose much the same links and none is a hub.
@@ -207,16 +208,15 @@ def direct_links(prints: np.ndarray, starts: np.ndarray, distance: int, total: i
     groups = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(prints))))
     forest, kept = _Forest(len(prints)), []
     for q, p in tree.search(tree.value[0], groups, distance):
-        more = (p > q) & (forest.label[q] != forest.label[p] if root is None else root[q] != root[p])
+        more = (p > q) & (forest.label[q] != forest.label[p])
         q, p = q[more], p[more]
         far = np.bitwise_count(prints[q] ^ prints[p]).sum(axis=1)
         close = np.flatnonzero(far <= total)
-        if root is None:
-            a, b = node[q[close]].astype(np.uint64), node[p[close]].astype(np.uint64)
-            dealt = C.mix64(C.mix64(np.minimum(a, b)) ^ np.maximum(a, b))
-            close = close[np.lexsort((dealt, 3 * far[close].astype(np.int64) > 2 * total))]
+        a, b = node[q[close]].astype(np.uint64), node[p[close]].astype(np.uint64)
+        dealt = C.mix64(C.mix64(np.minimum(a, b)) ^ np.maximum(a, b))
+        close = close[np.lexsort((dealt, 3 * far[close].astype(np.int64) > 2 * total))]
         q, p = q[close], p[close]
-        while root is None and len(q):
+        while len(q):
             best = np.full(len(prints), len(q))
             for label in (forest.label[q], forest.label[p]):
                 np.minimum.at(best, label, np.arange(len(q)))
@@ -225,8 +225,6 @@ def direct_links(prints: np.ndarray, starts: np.ndarray, distance: int, total: i
             forest.join(q[taken], p[taken])
             apart = forest.label[q] != forest.label[p]
             q, p = q[apart], p[apart]
-        if len(q):
-            kept.append((q, p))
     none = np.zeros(0, dtype=np.int64)
     return (np.concatenate([q for q, _ in kept]), np.concatenate([p for _, p in kept])) if kept else (none, none)
 
@@ -247,8 +245,7 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 6, reach: int | No
     such a column, never meet.  With ``direct``, links are those of ``direct_links``.
     """
     words = [c for c in prints.columns if c.startswith("fp")]
-    n_words, with_root = len(words), "root" in prints.columns
-    words += ["root"] * with_root
+    n_words = len(words)
     masks = block_masks(blocks, distance)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     dealt = prints.select("*", F.posexplode(F.array(*[F.col("fp0").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
@@ -278,7 +275,7 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 6, reach: int | No
             order = np.lexsort((gray_rank(fp[:, 0] & ~unsigned[rows[:, 0] % len(unsigned)]), group))
             at = np.cumsum(size) - size
             if direct:
-                a, b = direct_links(fp[order], at, limit, total, rows[order, 4], rows[order, -1] if with_root else None)
+                a, b = direct_links(fp[order], at, limit, total, rows[order, 4])
             else:
                 a, b = link_groups(fp[order], at, limit, total)
             node = rows[order, 4]
@@ -361,6 +358,92 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct()
 
 
+def verified_links(prints: np.ndarray, sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (pairs of places) of the links between different roots and, where ``side`` has two
+    values, between its sides: fingerprints within ``most`` bits, sets that share ``similarity``.
+
+    Every pair not joined yet is compared.  One text at a time marks its shingles, and the marks
+    are counted over all texts it may link, so no pair is ever stored.
+    """
+    n = len(sets)
+    size = np.fromiter((len(s) for s in sets), dtype=np.int64, count=n)
+    _, shingles = np.unique(np.concatenate(sets), return_inverse=True) if n else (None, np.zeros(0, dtype=np.int64))
+    at = np.concatenate(([0], np.cumsum(size)))
+    marked = np.zeros(int(shingles.max()) + 1 if len(shingles) else 0, dtype=bool)
+    _, label = np.unique(root, return_inverse=True)
+    two = len(np.unique(side)) > 1
+    a, b = [], []
+    for i in range(n - 1):
+        later = slice(i + 1, n)
+        may = label[later] != label[i]
+        if two:
+            may &= side[later] != side[i]
+        other = np.flatnonzero(may) + i + 1
+        other = other[np.bitwise_count(prints[other] ^ prints[i]).sum(axis=1) <= most]
+        # Sets of too different sizes cannot share so much.
+        other = other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i]) - 1e-9]
+        if not len(other):
+            continue
+        own = shingles[at[i] : at[i + 1]]
+        marked[own] = True
+        ends = np.cumsum(size[other])
+        place = np.arange(ends[-1]) + np.repeat(at[other] - (ends - size[other]), size[other])
+        hits = np.concatenate(([0], np.cumsum(marked[shingles[place]])))
+        marked[own] = False
+        both = hits[ends] - hits[ends - size[other]]
+        other = other[both >= similarity * (size[other] + size[i] - both) - 1e-9]
+        other = other[np.unique(label[other], return_index=True)[1]]
+        if len(other):
+            a.append(np.full(len(other), i))
+            b.append(other)
+            label[np.isin(label, label[other])] = label[i]
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def links_within(members: DataFrame, texts: DataFrame, shingle: int, similarity: float, most: int) -> DataFrame:
+    """Links (a, b) that join all pairs of a group whose fingerprints lie within ``most`` bits and
+    whose ``texts`` (node, text) share ``similarity`` of their shingles, but for what ``root`` joins.
+
+    ``members`` has (node, group, root, fps), fps an array.  A group meets in one task, which keeps
+    its pairs to itself.  One of over ``GROUP`` texts or ``GROUP_BYTES`` of shingles is cut into
+    hashed chunks whose pairs meet, so a task holds two chunks.
+    """
+    schema = T.StructType([f for f in members.schema.fields if f.name != "text"] + [T.StructField("shingles", T.BinaryType())])
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            for lo, part in C.text_slices(batch.column(last)):
+                sets = pa.array([s.tobytes() for s in shingle_sets(part, shingle)], pa.binary())
+                rows = batch.slice(lo, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:last], sets], names=schema.names)
+
+    of = texts.join(C.maybe_broadcast(members, members.count(), BROADCAST_PATTERNS), "node").select(*members.columns, "text")
+    sets = of.mapInArrow(as_sets, schema).groupBy("node", "fps", F.xxhash64("shingles").alias("h"))
+    sets = settle(sets.agg(*[F.first(c).alias(c) for c in ("group", "root", "shingles")]).drop("h"))
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum(F.octet_length("shingles")) / GROUP_BYTES))
+    hot = settle(sets.groupBy("group").agg(chunks.cast("int").alias("k")).filter("k > 1"))
+    dealt = sets.join(C.maybe_broadcast(hot, hot.count(), BROADCAST_PATTERNS), "group", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.withColumns({"c": F.least("side", "d"), "d": F.greatest("side", "d")}).drop("k")
+
+    def verify(rows: pa.Table) -> pa.Table:
+        column = lambda c: rows.column(c).to_numpy()
+        node, side = column("node"), column("side")
+        fps = np.array(rows.column("fps").to_pylist(), dtype=np.int64).view(np.uint64)
+        shingles = [np.frombuffer(s, dtype=np.uint64) for s in rows.column("shingles").to_pylist()]
+        if column("c")[0] != column("d")[0] and len(np.unique(side)) == 1:
+            shingles, node, side, fps = [], node[:0], side[:0], fps[:0]
+        a, b = verified_links(fps, shingles, column("root")[: len(node)], side, most, similarity)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    found = settle(dealt.groupBy("group", "c", "d").applyInArrow(verify, "a long, b long").distinct())
+    release(sets, hot)
+    return found
+
+
 def _limit(similarity: float, bits: int, deviations: float) -> int:
     """Differing bits of texts exactly at ``similarity``: mean and so many standard deviations."""
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -374,9 +457,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     verified on the texts.  Candidates share a masked pattern of one of ``words`` independent
     fingerprints (each dealt by itself) and lie within the bits that such texts differ in: one and
     a half standard deviations over the mean for the two words at hand, three for all of them.
-    First a forest of candidates is verified.  Candidates that it joined through a link that
-    failed may still link, and only those whose texts lie on either side of such a link: among
-    the texts of those groups every candidate pair that is not joined yet is verified too.
+    First a forest of candidates is verified.  Where a link of it fails and leaves its ends apart,
+    others may still join them: among the texts of that whole tree of candidates all pairs within
+    three standard deviations in all words are verified too, inside the task that holds them.
     Rows that repeat an id are all kept or all dropped; null ids are never dropped; null and empty
     texts are copies of each other; texts of any length are read whole; columns of any name stay.
     """
@@ -389,15 +472,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     copies = settle(prints.select("doc_id", "digest").join(least, "digest").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     release(prints)
 
-    def candidates(prints: DataFrame, n: int, limit: int) -> DataFrame:
-        """Pairs of ``prints`` dealt by each word, with ``n`` words (from it on) to hold against the limit."""
-        turned = [F.struct(*[F.col(names[(k + j) % words]).alias(f"fp{j}") for j in range(n)]) for k in range(words)]
-        own = [c for c in prints.columns if c in ("node", "root")]
-        dealt = prints.select(*own, F.posexplode(F.array(*turned)).alias("w", "s")).select(*own, "w", *[f"s.fp{j}" for j in range(n)])
-        found = links(dealt, distance, blocks, reach, limit, direct=True).filter("a <> b")
-        return settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    loose = candidates(distinct, 2, total)
+    turned = [F.struct(F.col(names[k]).alias("fp0"), F.col(names[(k + 1) % words]).alias("fp1")) for k in range(words)]
+    dealt = distinct.select("node", F.posexplode(F.array(*turned)).alias("w", "s")).select("node", "w", "s.fp0", "s.fp1")
+    found = links(dealt, distance, blocks, reach, total, direct=True).filter("a <> b")
+    loose = settle(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     side = lambda c, fp: distinct.select(F.col("node").alias(c), F.array(*names).alias(fp))
     far = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(words)), F.lit(0))
     near = settle(loose.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(far <= most).select("a", "b"))
@@ -406,12 +484,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     joined = settle(components(tight))
     root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     failed = loose.join(tight, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    failed = failed.select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
-    open_ = settle(failed.select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
-    rooted = distinct.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = candidates(rooted.join(open_, "root", "left_semi"), words, most)
-    late = settle(similar(more.join(loose, ["a", "b"], "left_anti"), texts, shingle, similarity))
-    release(loose, more, open_, distinct)
+    failed = failed.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    group = settle(components(loose).select("node", F.col("root").alias("group")))
+    open_ = settle(failed.select(F.col("a").alias("node")).join(group, "node").select("group").distinct())
+    members = group.join(open_, "group", "left_semi").join(distinct.select("node", F.array(*names).alias("fps")), "node").join(joined, "node", "left")
+    members = settle(members.select("node", "group", F.coalesce("root", "node").alias("root"), "fps"))
+    late = links_within(members, texts, shingle, similarity, most)
+    release(loose, group, open_, members, distinct)
     tree = components(joined.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(late).union(copies))
     release(joined, tight, late, copies)
     gone = tree.filter("node <> root").select(F.col("node").alias("__gone")).distinct()

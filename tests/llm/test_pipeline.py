@@ -126,3 +126,43 @@ def test_near_copies_keep_to_the_similarity(spark):
     above, below = [d for d, s in similar.items() if s >= 0.8], [d for d, s in similar.items() if s < 0.8]
     assert len(above) > 50 < len(below) and all(d in left for d in below)
     assert sum(d not in left for d in above) >= 0.99 * len(above)
+
+
+@pytest.mark.parametrize("size", [1024, 8])
+def test_links_within_groups_join_what_brute_force_joins(spark, monkeypatch, size):
+    """Texts around the threshold, in one chunk or in many; a repeated row, empty texts and joined roots."""
+    import numpy as np
+
+    from skylume.llm import simhash
+    from skylume.llm.components import components
+
+    monkeypatch.setattr(simhash, "GROUP", size)
+    rng = np.random.default_rng(size)
+    texts, group = {}, {}
+    for g in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 5_000, 120)]
+        for k in range(20):
+            words = list(base)
+            for i in rng.integers(0, 120, int(rng.integers(0, 4))):
+                words[i] = f"x{g}_{k}_{i}"
+            texts[100 * g + k], group[100 * g + k] = " ".join(words), g
+    texts |= {50: "", 51: "", 52: "three words only", 53: "three words only"}
+    group |= dict.fromkeys((50, 51, 52, 53), 0)
+    grams = {}
+    for n, t in texts.items():
+        w = brute.WORD.findall(t)
+        grams[n] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    label = {n: n for n in texts} | {1: 0}
+    root = dict(label)
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and group[a] == group[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) and label[a] != label[b]:
+                label = {n: label[a] if x == label[b] else x for n, x in label.items()}
+    members = spark.createDataFrame([(n, group[n], root[n], [0] * 8) for n in texts], "node long, group long, root long, fps array<long>")
+    df = spark.createDataFrame([*texts.items(), (100, texts[100])], "node long, text string")
+    late = simhash.links_within(members, df, 5, 0.8, 512)
+    known = spark.createDataFrame([(n, r) for n, r in root.items() if n != r], "a long, b long")
+    got = {r.node: r.root for r in components(late.union(known)).collect()}
+    classes = lambda of: {frozenset(m for m in texts if of(m) == of(n)) for n in texts}
+    assert classes(lambda n: got.get(n, n)) == classes(label.get)
+    assert simhash.links_within(members.limit(0), df, 5, 0.8, 512).count() == 0
