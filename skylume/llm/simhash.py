@@ -41,6 +41,8 @@ CHUNK = 4096
 BROADCAST_PATTERNS = 200_000
 #: Texts and bytes of shingles in a chunk of a group whose pairs are verified (two chunks a task).
 GROUP, GROUP_BYTES = 1024, 16 << 20
+#: Links thinned to a forest at once.
+LINKS = 1 << 20
 #: Children of a tree node.
 FANOUT = 16
 #: Candidate places held at once.
@@ -358,6 +360,27 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct()
 
 
+def thinned(pairs: DataFrame) -> DataFrame:
+    """Links that join what ``pairs`` (a, b) join: a forest of each ``LINKS`` of them, made where they lie."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
+                rows += batch.num_rows
+            if rows and (batch is None or rows >= LINKS):
+                node, place = np.unique(np.concatenate(held), return_inverse=True)
+                place = place.reshape(-1, 2)
+                forest = _Forest(len(node))
+                forest.join(place[:, 0], place[:, 1])
+                child = np.flatnonzero(forest.label != np.arange(len(node)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[forest.label[child]])], names=["a", "b"])
+                held, rows = [], 0
+
+    return pairs.select("a", "b").coalesce(-(-max(pairs.count(), 1) // LINKS)).mapInArrow(reduce, "a long, b long")
+
+
 def verified_links(prints: np.ndarray, sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A forest (pairs of places) of the links between different roots and, where ``side`` has two
     values, between its sides: fingerprints within ``most`` bits, sets that share ``similarity``.
@@ -485,7 +508,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     failed = loose.join(tight, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     failed = failed.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    group = settle(components(loose).select("node", F.col("root").alias("group")))
+    group = settle(components(thinned(loose)).select("node", F.col("root").alias("group")))
     open_ = settle(failed.select(F.col("a").alias("node")).join(group, "node").select("group").distinct())
     members = group.join(open_, "group", "left_semi").join(distinct.select("node", F.array(*names).alias("fps")), "node").join(joined, "node", "left")
     members = settle(members.select("node", "group", F.coalesce("root", "node").alias("root"), "fps"))

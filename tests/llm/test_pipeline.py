@@ -166,3 +166,19 @@ def test_links_within_groups_join_what_brute_force_joins(spark, monkeypatch, siz
     classes = lambda of: {frozenset(m for m in texts if of(m) == of(n)) for n in texts}
     assert classes(lambda n: got.get(n, n)) == classes(label.get)
     assert simhash.links_within(members.limit(0), df, 5, 0.8, 512).count() == 0
+
+
+@pytest.mark.parametrize("size", [1 << 20, 50])
+def test_thinned_links_join_the_same(spark, monkeypatch, size):
+    import numpy as np
+
+    from skylume.llm import simhash
+    from skylume.llm.components import components
+
+    monkeypatch.setattr(simhash, "LINKS", size)
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 40, (600, 2)) * 10 + rng.integers(0, 8, (600, 1)) if a != b]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    got, want = ({r.node: r.root for r in components(x).collect()} for x in (simhash.thinned(df), df))
+    assert got == want and simhash.thinned(df).count() <= df.count()
+    assert simhash.thinned(df.limit(0)).count() == 0
