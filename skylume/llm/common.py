@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import numpy as np
@@ -76,6 +77,19 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread_join(rows: DataFrame, key: str, by: str, facts: DataFrame, n: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row a ``key``; rows without a fact go.
+
+    Any number of the ``n`` rows may share a key: each key is dealt by the hash of ``by`` over as
+    many slots as the root of ``n``, and the fact first goes to the slots in use.  So neither join
+    sees more rows of a key than about that root.
+    """
+    slots = max(1, math.isqrt(n))
+    dealt = rows.withColumn("__slot", F.pmod(F.xxhash64(by), F.lit(slots)))
+    known = dealt.select(key, "__slot").distinct().join(facts, key)
+    return dealt.join(known, [key, "__slot"]).drop("__slot")
+
+
 # ----------------------------------------------------------------------------- Arrow slices
 
 

@@ -2,7 +2,8 @@
 
 Every round is an aggregation and a join on node ids; the links are written to the
 shared folder after each round, so neither links nor components reach the driver.
-A hub's neighbours are never gathered in one task: only their minimum is kept.
+A hub's neighbours are never gathered in one task: their minimum is kept, and they are dealt
+over several tasks where they take it.
 """
 
 from __future__ import annotations
@@ -10,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle
+from .common import release, settle, spread_join
 
 #: Rounds after which something must be wrong (they grow with the logarithm of the nodes).
 MAX_ROUNDS = 60
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    upper = spread_join(both.filter("b > a"), "a", "b", least, n)
+    return upper.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        after = settle(_small_star(_large_star(links)))
+        after = settle(_small_star(_large_star(links, state[0])))
         now = after.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         release(links)
         links, same = after, now == state

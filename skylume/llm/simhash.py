@@ -322,8 +322,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     member = distinct.join(tree, distinct["fingerprint"] == tree["node"], "left").select(F.col("fingerprint").alias("fp"), "first", F.coalesce("root", "fingerprint").alias("root"))
     member = settle(member)
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(least, "root").select("fp", "component_id")
-    return prints.join(of, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
+    of = C.spread_join(member, "root", "fp", least, member.count()).select(F.col("fp").alias("fingerprint"), "component_id")
+    return C.spread_join(prints, "fingerprint", "doc_id", of, prints.count()).select("doc_id", "fingerprint", "component_id")
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -492,7 +492,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     prints = settle(fingerprints(texts, shingle, words=words, digest_sets=True).select(F.col("node").alias("doc_id"), *names, "digest"))
     distinct = settle(prints.groupBy("digest", *names).agg(F.min("doc_id").alias("node")))
     least = distinct.groupBy("digest").agg(F.min("node").alias("least"))
-    copies = settle(prints.select("doc_id", "digest").join(least, "digest").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    of = C.spread_join(prints.select("doc_id", "digest"), "digest", "doc_id", least, prints.count())
+    copies = settle(of.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     release(prints)
 
     turned = [F.struct(F.col(names[k]).alias("fp0"), F.col(names[(k + 1) % words]).alias("fp1")) for k in range(words)]
@@ -513,9 +514,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     members = group.join(open_, "group", "left_semi").join(distinct.select("node", F.array(*names).alias("fps")), "node").join(joined, "node", "left")
     members = settle(members.select("node", "group", F.coalesce("root", "node").alias("root"), "fps"))
     late = links_within(members, texts, shingle, similarity, most)
+    nodes = settle(distinct.select("node"))
     release(loose, group, open_, members, distinct)
-    tree = components(joined.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(late).union(copies))
-    release(joined, tight, late, copies)
-    gone = tree.filter("node <> root").select(F.col("node").alias("__gone")).distinct()
+    # A copy goes in any case, so only those that stand for texts of other fingerprints need links.
+    twins = copies.join(nodes.withColumnRenamed("node", "a"), "a", "left_semi")
+    tree = components(joined.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(late).union(twins))
+    release(joined, tight, late, nodes)
+    gone = tree.filter("node <> root").select(F.col("node").alias("__gone")).union(copies.select("a")).distinct()
     slim = C.packed(docs, doc_id, text)
     return C.unpacked(slim.join(gone, slim[doc_id] == gone["__gone"], "left_anti"), docs, (doc_id, text))
