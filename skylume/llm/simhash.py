@@ -483,7 +483,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     First a forest of candidates is verified.  Where a link of it fails and leaves its ends apart,
     others may still join them: among the texts of that whole tree of candidates all pairs within
     three standard deviations in all words are verified too, inside the task that holds them.
-    Rows that repeat an id are all kept or all dropped; null ids are never dropped; null and empty
+    Rows that repeat an id are all kept or all dropped (an id dropped as a copy of two texts does
+    not link these); null ids are never dropped; null and empty
     texts are copies of each other; texts of any length are read whole; columns of any name stay.
     """
     reach, total, most = _limit(similarity, 64, 1.5), _limit(similarity, 128, 1.5), _limit(similarity, 64 * words, 3)

@@ -568,3 +568,12 @@ def test_language_machines_learn_from_500_documents_in_300_rounds():
 
     assert inspect.signature(langid.train).parameters["per_language"].default == 500
     assert inspect.signature(langid.train_svm).parameters["rounds"].default == 300
+
+
+def test_spread_join_equals_a_plain_join(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("k"))
+    facts = spark.range(0, 2900, 7).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    found = {tuple(r) for r in C.spread_join(rows, "k", "doc_id", facts, 3000).select("doc_id", "k", "v").collect()}
+    assert found == {tuple(r) for r in rows.join(facts, "k").select("doc_id", "k", "v").collect()}
+    assert len(found) > 2000
+    assert C.spread_join(rows.limit(0), "k", "doc_id", facts, 0).count() == 0
