@@ -58,7 +58,7 @@ class _Wave:
         return scoring.expand(self.ego.join(mask, ["vt", "edge_id"]), self.frontier())
 
     def scored(self) -> DataFrame:
-        return settle(scoring.fidelities(self.edges, self.ego, self.members, settle(self.states()), self.first, self.layers))
+        return settle(scoring.fidelities(self.edges, self.ego, self.members, self.states(), self.first, self.layers))
 
     def ranked(self) -> DataFrame:
         return scoring.positions(scoring.marginal(self.scored(), self.ego), P.epsilon)

@@ -352,3 +352,25 @@ def test_dense_computes_its_input_once(spark):
         want = want @ np.array(fixed_layer(k, n, n)[0])
     np.testing.assert_allclose(got, want, rtol=1e-9)
     assert time.perf_counter() - began < 15
+
+
+def test_fidelities_score_groups_of_egos_in_one_pass(g7):
+    """The same shares as by joins, without a join of every state with every layer (over 100 exchanges before)."""
+    nodes, edges, vts = g7
+    edges = settle(edges)
+    members = settle(scoring.members_of(edges, vts, 2))
+    hops = settle(traversal.edges_by_hop(edges, vts, 2))
+    ego = hops.select("vt", "edge_id", "src", "dst")
+    states = settle(scoring.expand(ego, scoring.sample_frontier(hops, 2, 10, 8, 42)))
+    first = settle(models.project(nodes, graph7.LAYERS[0]))
+    scored = scoring.fidelities(edges, ego, members, states, first, graph7.LAYERS)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("Exchange ") < 20
+    got = {(r.vt, r.cand): r for r in scored.collect()}
+    origin = {r.vt: r for r in scoring.ego_prediction(members, ego, first, graph7.LAYERS).collect()}
+    by_joins = scoring.predict(members, states, states.select("vt", "cand").distinct(), first, graph7.LAYERS).collect()
+    sizes = {(r.vt, r.cand): r["count"] for r in states.groupBy("vt", "cand").count().collect()}
+    assert set(got) == {(r.vt, r.cand) for r in by_joins} and len(got) > 20
+    for r in by_joins:
+        own = got[r.vt, r.cand]
+        np.testing.assert_allclose([own.p_sub, own.fid_minus], [r.probs[origin[r.vt].label], r.probs[origin[r.vt].label] - origin[r.vt].p0 + 1], atol=1e-12)
+        assert own.n_edges == sizes[r.vt, r.cand]
