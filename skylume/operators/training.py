@@ -51,13 +51,12 @@ def train_gcn2(nodes: DataFrame, edges: DataFrame, train_ids: DataFrame, hidden:
         return _train_propagated(nodes, norm, train_ids, hidden, classes, epochs, seed)
     rows = nodes.orderBy("node_id").toPandas()
     ids = rows["node_id"].to_numpy()
-    links = norm.toPandas()
-    s, d, w = np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"]), links["w"].to_numpy()[:, None]
+    links = norm.toPandas().sort_values(["dst", "src"])
+    s, d, w = np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"]), links["w"].to_numpy()
 
     def spread(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(h)
-        np.add.at(out, b, h[a] * w)
-        return out
+        """Sums by column, each of which lies in one piece: faster than adding up rows in place."""
+        return np.stack([np.bincount(b, weights=column[a] * w, minlength=len(h)) for column in np.ascontiguousarray(h.T)], axis=1)
 
     mine = np.searchsorted(ids, np.sort(train_ids.toPandas()["node_id"].to_numpy()))
     truth = np.eye(classes)[rows["y"].to_numpy()[mine]]
@@ -67,7 +66,8 @@ def train_gcn2(nodes: DataFrame, edges: DataFrame, train_ids: DataFrame, hidden:
     for _ in range(epochs):
         z = ax @ values[0] + values[1]
         h = np.maximum(z, 0)
-        out = spread(h, s, d) @ values[2] + values[3]
+        near = spread(h, s, d)
+        out = near @ values[2] + values[3]
         p = softmax(out[mine])
         losses.append(float(-np.log((p * truth).sum(axis=1)).mean()))
         if best is None or losses[-1] < best[0]:
@@ -75,7 +75,7 @@ def train_gcn2(nodes: DataFrame, edges: DataFrame, train_ids: DataFrame, hidden:
         g = np.zeros_like(out)
         g[mine] = (p - truth) / len(mine)
         back = spread(g @ values[2].T, d, s) * (z > 0)
-        values = adam.step(values, [ax.T @ back, back.sum(axis=0), spread(h, s, d).T @ g, g.sum(axis=0)])
+        values = adam.step(values, [ax.T @ back, back.sum(axis=0), near.T @ g, g.sum(axis=0)])
     w1, b1, w2, b2 = best[1]
     return [(w1.tolist(), b1.tolist()), (w2.tolist(), b2.tolist())], losses
 

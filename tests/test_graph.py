@@ -423,3 +423,14 @@ def test_split_bucket_compares_only_what_overlaps():
     began = time.process_time()
     groups = partition.split_bucket(list(range(20000)), {v: {v // 4, v // 4 + 1} for v in range(20000)}, 15)
     assert sum(map(len, groups)) == 20000 and time.process_time() - began < 10
+
+
+def test_training_has_two_products_an_epoch(g7, monkeypatch):
+    """Neighbours are added up by column, once on the way forth and once back (by rows in place, three times an epoch, before)."""
+    from skylume.operators.training import train_gcn2
+
+    nodes, edges, _ = g7
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: calls.append(1) or count(*a, **b))
+    train_gcn2(nodes, edges, nodes.select("node_id").filter("node_id < 5"), 4, 2, epochs=3)
+    assert len(calls) == len(graph7.X[0]) + 3 * 2 * 4
