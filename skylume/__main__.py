@@ -29,7 +29,7 @@ def main(args: list[str]) -> int:
     nodes, edges = embedding_nodes(spark, args[0]), settle(nearest_edges(spark, args[0], 2))
     width = len(nodes.select("x").first()["x"])
     vts = edges.select(F.col("src").alias("vt")).distinct()
-    explain(nodes, edges, vts, p, fixed_model(p.model, width, p.hidden, p.classes)).write.parquet(args[1])
+    explain(nodes, edges, vts, p, fixed_model(p.model, width, p.hidden, p.classes), rest=True).write.parquet(args[1])
     found = spark.read.parquet(args[1])
     quality = heads_ipf(found).agg(F.avg("ipf")).first()[0]
     print(f"buckets {found.count()}, mean quality {quality}, seconds {time.perf_counter() - began:.1f}")

@@ -417,12 +417,12 @@ def ipf_workers(spark, sf):
 
 def _found(spark, sf, method: str):
     nodes, edges = _near(spark, sf)
-    return search.explain(nodes, edges, _vts(edges), Params(method=method), _model())
+    return search.explain(nodes, edges, _vts(edges), Params(method=method), _model(), rest=True)
 
 
 def skyline(spark, sf):
-    """The flagship: the k-skyline of every node of the nearest-neighbour graph."""
-    return _found(spark, sf, "simple").select("vt", "rank", "c_plus", "c_minus", "cnt", "n_edges", "edge_ids", _r("fid_plus"), _r("fid_minus"), "subg_size")
+    """The flagship: the k-skyline of every node of the nearest-neighbour graph, and what the k cells have no room for (not kept)."""
+    return _found(spark, sf, "simple").select("vt", "rank", "c_plus", "c_minus", "cnt", "n_edges", "edge_ids", _r("fid_plus"), _r("fid_minus"), "subg_size", "kept")
 
 
 def skyline_share(spark, sf):

@@ -484,3 +484,89 @@ def test_pairs_stay_off_the_driver(spark, monkeypatch):
     assert [g["node"].tolist() for _, g in rows.groupby("cluster")] == want
     none = sets.filter("false")
     assert partition.partition(none, none.select("vt"), 4).collect() == []
+
+
+def star(spark):
+    """(nodes, edges, vts, model): a centre with 14 neighbours, some of which are joined to each other."""
+    rng = np.random.default_rng(6)
+    pairs = [(0, v) for v in range(1, 15)] + [(1, 2), (3, 4), (5, 6), (14, 15)]
+    pairs = sorted({p for a, b in pairs for p in ((a, b), (b, a))})
+    edges = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "edge_id long, src long, dst long")
+    nodes = spark.createDataFrame([(v, rng.normal(size=2).tolist(), 0) for v in range(16)], "node_id long, x array<double>, y int")
+    return nodes, settle(edges), spark.createDataFrame([(0,), (4,), (15,)], "vt long"), models.fixed_model("gcn2", 2, 3, 3)
+
+
+def every_state(ego, p, shared=None):
+    """{cell: (states, smallest size)} of a search that tries every edge of each hop and forgets no cell."""
+    cells, hits = {}, 0
+    for hop in range(p.hops, 0, -1):
+        state, left = ego.start(hop), np.flatnonzero(ego.hop == hop).tolist()
+        while left and state.sum() > 1:
+            plus0, minus0, _, _ = ego.fidelity(state)
+            losses = []
+            for e in left:
+                tried = state.copy()
+                tried[e] = False
+                if shared is not None and ego.edge_id[e] in shared:
+                    (plus, minus), hits = shared[ego.edge_id[e]], hits + 1
+                else:
+                    plus, minus, factual, counterfactual = ego.fidelity(tried)
+                    if not (factual or counterfactual):
+                        continue
+                    if shared is not None:
+                        shared[ego.edge_id[e]] = plus, minus
+                key = tuple(math.floor(math.log(v if v > 0 else 1e-6) / math.log(1 + p.epsilon)) for v in (1 - plus, 1 - minus))
+                n, size = cells.get(key, (0, 10**9))
+                cells[key] = n + 1, min(size, int(tried.sum()))
+                losses.append((round((plus0 - plus + minus0 - minus - 1 / ego.size) / 3, 9), e))
+            if not losses:
+                break
+            best = min(losses, key=lambda x: x[0])[1]
+            left.remove(best)
+            state[best] = False
+    return cells, hits
+
+
+def by_cell(rows):
+    out = {}
+    for r in rows:
+        n, size = out.get((r.c_plus, r.c_minus), (0, 10**9))
+        assert r.n_edges == len(r.edge_ids)
+        out[r.c_plus, r.c_minus] = n + r.cnt, min(size, r.n_edges)
+    return out
+
+
+@pytest.mark.parametrize("k", [2, 10])
+def test_search_tries_every_edge_and_keeps_every_cell(spark, k):
+    """A hop of 28 edges was cut to 8 of them, and cells beyond the k left no trace."""
+    nodes, edges, vts, model = star(spark)
+    rows = search.skyline(nodes, edges, vts, Params(k=k), model, rest=True).collect()
+    e, n = (t.toPandas() for t in search.ego_tables(nodes, edges, vts, Params(), model))
+    for v in (0, 4, 15):
+        want, _ = every_state(search.Ego(v, e[e["vt"] == v], n[n["vt"] == v].copy(), "gcn2", [(np.eye(3), model[0][1]), model[1]]), Params())
+        assert by_cell(r for r in rows if r.vt == v) == want
+        assert sum(r.kept for r in rows if r.vt == v) == min(k, len(want))
+    assert k == 10 or any(not r.kept for r in rows)
+    kept = sorted(r for r in rows if r.kept)
+    assert kept == sorted(search.skyline(nodes, edges, vts, Params(k=k), model).collect())
+
+
+def test_waves_equal_states_one_by_one():
+    rng = np.random.default_rng(7)
+    layers = models.fixed_model("gcn2", 4, 5, 3)
+    for _ in range(60):
+        n = int(rng.integers(2, 12))
+        pairs = np.array([(a, b) for a in range(n) for b in range(n) if a != b and rng.random() < 0.5] + [(0, 1)])
+        src, dst = np.unique(pairs, axis=0).T
+        zero = np.zeros(len(src), dtype=int)
+        nodes = {"vt": np.zeros(n, dtype=int), "node": np.arange(n), "outside": rng.integers(0, 4, n), "h": rng.normal(size=(n, 5)) * 3}
+        egos = dense.Egos(nodes, {"vt": zero, "edge_id": np.arange(len(src)), "src": src, "dst": dst})
+        mask = rng.random(len(src)) < 0.7
+        for come in (False, True):
+            at = np.flatnonzero(mask != come)
+            masks = np.tile(mask, (len(at) + 1, 1))
+            masks[np.arange(1, len(masks)), at] = come
+            want = egos.shares(np.zeros(len(masks), dtype=int), masks.ravel(), come, layers)
+            np.testing.assert_allclose(egos.ring(0).shares(mask, at, come, layers), want, atol=1e-12)
+    twice = dense.Egos(nodes, {"vt": np.zeros(2, dtype=int), "edge_id": np.arange(2), "src": np.array([1, 1]), "dst": np.array([0, 0])})
+    assert not twice.ring(0)
